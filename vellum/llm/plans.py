@@ -9,7 +9,7 @@ from ..operators.packed import values
 from ..operators.rank import earliest
 from ..operators.references import reference_key
 from ..session import table
-from . import cooccurrence, packing, splits
+from . import cooccurrence, leakage, packing, repetition, splits
 
 
 def pairs(spark: SparkSession, d: str, min_count: int) -> DataFrame:
@@ -90,10 +90,39 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(containers(spark, d), CAPACITY)
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the items of which it holds a passage."""
+    return leakage.search(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each item leaked into, 0 included."""
+    n = p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n"))
+    return table(spark, d, "eval_items").join(n, "item_id", "left").select("item_id", "suite", F.coalesce("n", F.lit(0)).alias("n_docs"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents at or over the cutoff of their stratum of which at least 30 % repeats."""
+    measured, _ = repetition.judged(table(spark, d, "documents"), "doc_id", "text")
+    return measured.filter((F.col("share") >= F.col("cutoff")) & (10 * F.col("repeated") >= 3 * F.col("words")) & (F.col("words") > 0)).select("doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the share of its words that repeats, and whether it is over the cutoff of its stratum."""
+    measured, _ = repetition.judged(table(spark, d, "documents"), "doc_id", "text")
+    return measured.select("doc_id", "stratum", "words", "repeated", "share", (F.col("share") >= F.col("cutoff")).alias("rejected"))
+
+
+def p8_cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    """The certified cutoff of each stratum with its bound on false rejections."""
+    return repetition.judged(table(spark, d, "documents"), "doc_id", "text")[1]
+
+
+
 SQL = {
     "p1_found": P1_SQL + "SELECT a palavra_1, b palavra_2 FROM c JOIN f x ON x.w = a JOIN f y ON y.w = b, n WHERE n_ab >= 5 AND n_ab * n.n >= 8 * x.n * y.n",
     "p1_stale": P1_SQL + """, o AS (SELECT least(x, y) a, greatest(x, y) b, max(contagem) published FROM (SELECT lower(trim(palavra_1)) x, lower(trim(palavra_2)) y, contagem FROM tabela_pmi) GROUP BY ALL)
         SELECT a palavra_1, b palavra_2, n_ab contagem, published FROM c JOIN o USING (a, b)""",
 }
 SQL |= {"p6_found": "SELECT doc_id FROM documents WHERE octet_length(encode(text)) + 1 > 8192"}
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_stale, p5_found, p5_splits, p6_found, p6_containers, p6_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_stale, p5_found, p5_splits, p6_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_shares, p8_cutoffs)}
