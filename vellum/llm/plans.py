@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.packed import values
+from ..operators.packed import unpack
 from ..operators.rank import earliest
 from ..operators.references import reference_key
 from ..session import table
-from . import cooccurrence, leakage, packing, repetition, splits
+from . import cooccurrence, leakage, packing, repetition, sentences, splits
 
 
 def pairs(spark: SparkSession, d: str, min_count: int) -> DataFrame:
@@ -44,13 +44,24 @@ WITH w AS (SELECT DISTINCT trecho_id, unnest(regexp_extract_all(lower(texto), '\
      c AS (SELECT a.w a, b.w b, count(*) n_ab FROM w a JOIN w b USING (trecho_id) WHERE a.w < b.w GROUP BY ALL)
 """
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of every case text."""
+    cases = earliest(table(spark, d, "cases_clean"), "case_id", "loaded_at", "case_text")
+    return sentences.sentences(cases, "case_id", "case_text")
+
+
+def p3_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of every document."""
+    return sentences.sentences(table(spark, d, "documents"), "doc_id", "text")
+
+
 NOBODY = ("ANONYMOUS", "ET AL")
 
 
 def case_groups(spark: SparkSession, d: str) -> DataFrame:
     """Cases tied by article, by an author of their articles or by a source fragment."""
     cases = earliest(table(spark, d, "cases_clean"), "case_id", "loaded_at", "article_id", "source_case_ids")
-    meta = table(spark, d, "metadata").select(reference_key("article_id").alias("a"), F.explode(values("authors", True)).alias("w"))
+    meta = unpack(table(spark, d, "metadata").select(reference_key("article_id").alias("a"), "authors"), ["a"], ["authors"]).withColumnRenamed("value", "w")
     who = F.upper(F.regexp_replace("w", r"\s+", " "))
     case, article = F.concat(F.lit("r:"), "case_id"), F.concat(F.lit("a:"), reference_key("article_id"))
     ties = [
@@ -125,4 +136,4 @@ SQL = {
         SELECT a palavra_1, b palavra_2, n_ab contagem, published FROM c JOIN o USING (a, b)""",
 }
 SQL |= {"p6_found": "SELECT doc_id FROM documents WHERE octet_length(encode(text)) + 1 > 8192"}
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_stale, p5_found, p5_splits, p6_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_shares, p8_cutoffs)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_stale, p3_found, p3_documents, p5_found, p5_splits, p6_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_shares, p8_cutoffs)}
