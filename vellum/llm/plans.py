@@ -67,7 +67,7 @@ def case_groups(spark: SparkSession, d: str) -> DataFrame:
     ties = [
         cases.select(case.alias("u"), article.alias("v")),
         cases.select(case.alias("u"), F.explode("source_case_ids").alias("s")).select("u", F.concat(F.lit("s:"), F.nullif(F.trim("s"), F.lit(""))).alias("v")),
-        meta.select(F.concat(F.lit("a:"), "a").alias("u"), who.alias("w")).filter(~F.rtrim(F.lit("."), F.col("w")).isin(*NOBODY)).select("u", F.concat(F.lit("w:"), "w").alias("v")),
+        meta.select(F.concat(F.lit("a:"), "a").alias("u"), who.alias("w")).filter(~F.rtrim(F.col("w"), F.lit(".")).isin(*NOBODY)).select("u", F.concat(F.lit("w:"), "w").alias("v")),
     ]
     return splits.groups(cases.select("case_id"), ties)
 
