@@ -1,0 +1,84 @@
+"""Column functions on text: normalisation, keys, tokens and n-grams. All are built-in expressions."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: British spellings and their American forms, replaced in this order.
+DIALECT = [
+    ("coeliac", "celiac"), ("oesophag", "esophag"), ("haemat", "hemat"), ("haemorrh", "hemorrh"), ("paediatr", "pediatr"),
+    ("anaemi", "anemi"), ("tumour", "tumor"), ("oedema", "edema"), ("diarrhoea", "diarrhea"), ("caecum", "cecum"),
+    ("leucocyt", "leukocyt"), ("foetal", "fetal"), ("gynaecolog", "gynecolog"), ("orthopaedic", "orthopedic"),
+]
+#: Fixed value: words, with inner hyphens and apostrophes, and numbers. ASCII, as the vocabulary is.
+TOKEN = r"[A-Za-z][A-Za-z\-']*|[0-9]+(?:[.,][0-9]+)*"
+ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+
+
+def number_words() -> dict[str, int]:
+    """Spelled numbers from zero to ninety-nine, by rule."""
+    units = {w: i for i, w in enumerate(ONES)}
+    tens = {w: 20 + 10 * i for i, w in enumerate(TENS)}
+    return units | tens | {f"{t}-{u}": n + i for t, n in tens.items() for u, i in list(units.items())[1:10]}
+
+
+def normalize(c: Column | str) -> Column:
+    """The form in which terms and text windows compare: lower case, American spelling, plain hyphens and apostrophes, single
+    spaces. Both sides of a lookup must use it. Null stays null."""
+    s = F.trim(F.lower(c))
+    s = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), DIALECT, s)
+    s = F.regexp_replace(s, r"is(ed|ation|ing|es)\b", "iz$1")
+    s = F.translate(s, "‐‑‘’", "--''")
+    return F.trim(F.regexp_replace(s, r"\s+", " "))
+
+
+def sort_key(c: Column | str) -> Column:
+    """The words of a normalised term in alphabetical order, so that order and punctuation don't matter."""
+    return F.array_join(F.sort_array(F.regexp_extract_all(F.col(c) if isinstance(c, str) else c, F.lit("([a-z0-9]+)"), F.lit(1))), " ")
+
+
+def lookup(mapping: dict, key: Column) -> Column:
+    """mapping[key], null where there is none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), key)
+
+
+#: Which vocabulary and which term type wins (lower first); others have 9 and 8.
+VOCABULARY_RANK = {"SNOMEDCT_US": 0, "MSH": 1, "LNC": 2, "RXNORM": 3, "ICD10CM": 4, "MTH": 5}
+TERM_TYPE_RANK = {"PT": 0, "PN": 1, "MH": 1, "FN": 2, "SY": 3, "SYN": 3, "AB": 6, "IS": 7}
+
+
+def priority(vocabulary: Column, tty: Column, vocabularies: dict[str, int] = VOCABULARY_RANK) -> Column:
+    return F.coalesce(lookup(vocabularies, vocabulary), F.lit(9)) * 10 + F.coalesce(lookup(TERM_TYPE_RANK, tty), F.lit(8))
+
+
+def words(c: Column | str) -> Column:
+    """Lower-case tokens in order; a token that ends in a hyphen takes the number after it ("covid-" "19")."""
+    raw = F.regexp_extract_all(F.lower(c), F.lit(r"([a-z][a-z\-']*-(?=[0-9])[0-9]+(?:[.,][0-9]+)*|[a-z][a-z\-']*|[0-9]+(?:[.,][0-9]+)*)"), F.lit(1))
+    return F.filter(raw, lambda w: w != "")
+
+
+def ngrams(tokens: Column | str, n: int) -> Column:
+    """The n-grams of an array, as space-joined strings; empty where there are fewer than n tokens."""
+    t = F.col(tokens) if isinstance(tokens, str) else tokens
+    # the guard matters: sequence(0, -1) counts down
+    return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def percent_encode(c: Column) -> Column:
+    """Percent-encoding of everything but letters, digits and _.-~ (spaces as %20)."""
+    return F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def digits_for_words(c: Column, window: int = 700) -> Column:
+    """Spelled numbers up to ninety-nine as digits, in the first `window` characters: the text is cut into words and the
+    rest, words are looked up and all is joined again. "twenty-one" is one word."""
+    tens, ones = "|".join(TENS), "|".join(ONES[1:10])
+    every = "|".join(sorted(ONES + TENS, key=len, reverse=True))
+    pattern = rf"(?i)(\b(?:(?:{tens})-(?:{ones})|{every})\b|[^A-Za-z]+|[A-Za-z]+)"
+    pieces = F.regexp_extract_all(F.substring(c, 1, window), F.lit(pattern), F.lit(1))
+    table = F.create_map(*[F.lit(x) for k, v in number_words().items() for x in (k, str(v))])
+    return F.concat(F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, F.lower(p)), p)), ""), F.substring(c, window + 1, 2**31 - 1))
