@@ -31,7 +31,11 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir", "")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vellum-checkpoint-"))
-    return df.checkpoint(eager)
+    done = df.checkpoint(eager)
+    # A checkpoint keeps the size estimate of its plan, and joins multiply estimates: in a loop they grow until the driver
+    # does nothing but multiply. The same rows as a fresh leaf have the default estimate; the engine measures at run time.
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
