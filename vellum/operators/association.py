@@ -69,21 +69,23 @@ def log_probability(train: DataFrame, test: DataFrame, tokens: str, key: str) ->
     return j.groupBy(key).agg((F.sum(F.col("m") * lp) / F.sum("m")).alias("logp"))
 
 
-def held_out(docs: DataFrame, tokens: str, key: str, fold: str) -> DataFrame:
+def held_out(docs: DataFrame, tokens: str, key: str, fold: str, train: DataFrame | None = None) -> DataFrame:
     """(key, logp) where the model of each row leaves out the rows of its own fold: the fold's counts are subtracted from
-    those of the whole, so nothing is fitted again. The vocabulary is what remains with a count."""
+    those of the whole, so nothing is fitted again. The vocabulary is what remains with a count. The model is of `train`
+    (the same columns), or of the rows themselves; a row whose fold isn't in train is scored by the whole model."""
     d = docs.select(key, fold, padded(tokens).alias("t"))
-    own2 = bigrams(d, "t", [fold])
+    t = d if train is None else train.select(fold, padded(tokens).alias("t"))
+    own2 = bigrams(t, "t", [fold])
     all2 = own2.groupBy("w1", "w2").agg(F.sum("c").alias("c"))
-    own1 = d.select(fold, F.explode("t").alias("w")).groupBy(fold, "w").agg(F.count("*").alias("f"))
+    own1 = t.select(fold, F.explode("t").alias("w")).groupBy(fold, "w").agg(F.count("*").alias("f"))
     all1 = own1.groupBy("w").agg(F.sum("f").alias("f"))
     total = all1.agg(F.count("*").alias("v"), F.sum("f").alias("n"))
     gone = own1.withColumnRenamed("f", "o").join(all1, "w").groupBy(fold).agg(F.sum((F.col("o") == F.col("f")).cast("bigint")).alias("dv"), F.sum("o").alias("dn"))
-    size = gone.crossJoin(F.broadcast(total)).select(fold, (F.col("v") - F.col("dv") + 1).alias("v"), (F.col("n") - F.col("dn")).alias("n"))
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    size = d.select(fold).distinct().join(gone, fold, "left").crossJoin(F.broadcast(total)).select(fold, (F.col("v") - z("dv") + 1).alias("v"), (z("n") - z("dn")).alias("n"))
     p = bigrams(d, "t", [key, fold]).withColumnRenamed("c", "m")
     j = p.join(all2, ["w1", "w2"], "left").join(own2.withColumnRenamed("c", "oc"), [fold, "w1", "w2"], "left")
     for w in ("w1", "w2"):
         j = j.join(all1.select(F.col("w").alias(w), F.col("f").alias(f"a{w}")), w, "left").join(own1.select(fold, F.col("w").alias(w), F.col("f").alias(f"o{w}")), [fold, w], "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
     lp = F.log(probability(z("c") - z("oc"), z("aw1") - z("ow1"), z("aw2") - z("ow2"), F.col("v"), F.col("n")))
     return j.join(size, fold).groupBy(key).agg((F.sum(F.col("m") * lp) / F.sum("m")).alias("logp"))

@@ -54,22 +54,27 @@ def decided(z: DataFrame) -> DataFrame:
     return p.groupBy("rel_id").agg(best, F.sum("p").alias("t")).select("rel_id", F.col("b.class").alias("class"), (-F.col("b.np") / F.col("t")).alias("probability"))
 
 
-def logistic(examples: DataFrame, rounds: int = 15, rate: float = 4.0, ridge: float = 1e-4, most: float = 20.0) -> DataFrame:
-    """(feature, weight) of a two-class logistic regression on examples (id, feature, value, label), by full-batch gradient
-    steps: each step is a join of features and weights, a sum a row and a sum a feature. The positive class is weighted by
-    clamp(negatives / positives, 1, most). The weights are cut from their lineage each step. An intercept is the feature
-    '(bias)'. The order of rows doesn't matter."""
+def logistic(examples: DataFrame, rounds: int = 12, ridge: float = 1e-4, most: float = 20.0) -> DataFrame:
+    """(feature, weight) of a two-class logistic regression on examples (id, feature, value, label), by full-batch steps:
+    each is a join of features and weights, a sum a row and a sum a feature, scaled by a bound on the feature's curvature.
+    The positive class is weighted by clamp(negatives / positives, 1, most). The weights are cut from their lineage each
+    step. An intercept is the feature '(bias)'. The order of rows doesn't matter; no examples give no weights.
+    """
     from ..session import cut
 
-    n = examples.select("id", "label").distinct().agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("pos")).first()
-    total, pos = n["n"], n["pos"]
-    weight = min(max((total - pos) / max(pos, 1), 1.0), most)
-    x = examples.select("id", "label").distinct().select("id", F.lit("(bias)").alias("feature"), F.lit(1.0).alias("value"), "label").unionByName(examples.select("id", "feature", "value", "label"))
+    rows = examples.select("id", "label").distinct()
+    x = examples.select("id", "feature", "value", "label").unionByName(rows.select("id", F.lit("(bias)").alias("feature"), F.lit(1.0).alias("value"), "label"))
     x = cut(x)
-    w = x.select("feature").distinct().withColumn("weight", F.lit(0.0))
+    n = x.filter("feature = '(bias)'").agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("pos")).first()
+    total, pos = n["n"], n["pos"]
+    heavy = min(max((total - pos) / max(pos, 1), 1.0), most)
+    cost = F.when(F.col("label") == 1, heavy).otherwise(1.0)
+    active = F.count("*").alias("k")
+    widest = x.groupBy("id").agg(active).agg(F.max("k")).first()[0] or 1
+    w = cut(x.groupBy("feature").agg((F.sum(F.col("value") * F.col("value") * cost) * 0.25 * widest / max(total, 1) + ridge).alias("curve")).withColumn("weight", F.lit(0.0)))
     for _ in range(rounds):
         z = x.join(w, "feature").groupBy("id", "label").agg(F.sum(F.col("value") * F.col("weight")).alias("z"))
-        err = z.select("id", ((F.col("label") - sigmoid(F.col("z"))) * F.when(F.col("label") == 1, weight).otherwise(1.0)).alias("e"))
+        err = z.select("id", ((F.col("label") - sigmoid(F.col("z"))) * cost).alias("e"))
         grad = x.join(err, "id").groupBy("feature").agg((F.sum(F.col("value") * F.col("e")) / max(total, 1)).alias("g"))
-        w = cut(w.join(grad, "feature").select("feature", (F.col("weight") + rate * (F.col("g") - ridge * F.col("weight"))).alias("weight")))
-    return w
+        w = cut(w.join(grad, "feature").select("feature", "curve", (F.col("weight") + 1.8 * (F.col("g") - ridge * F.col("weight")) / F.col("curve")).alias("weight")))
+    return w.select("feature", "weight")

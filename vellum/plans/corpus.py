@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
-from ..operators import association, corpus, lexicon, relate, spans
+from ..operators import association, corpus, graph, lexicon, relate, spans
 from ..session import cut, table
 from . import tables as tb
 
@@ -181,6 +181,32 @@ def t3_clauses(spark: SparkSession, d: str) -> DataFrame:
     return tb.relations(spark, d, ["same_clause", "token_gap"]).groupBy("token_gap").agg(F.count_if("same_clause").alias("same"), F.count("*").alias("n"))
 
 
+def t4_word_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The words of the case texts with their class where they stand alone: listed, or by their ending."""
+    w = x3_words(spark, d)
+    listed = ft.lookup(relate.word_classes(), F.col("word"))
+    ending = F.lit("NOUN")
+    for s, c in reversed(relate.suffixes()):
+        ending = F.when(F.col("word").endswith(s) & (F.length("word") > len(s) + 1), c).otherwise(ending)
+    number = F.col("word").rlike("^[0-9]")
+    return w.select("word", "n", F.when(number, "NUM").otherwise(F.coalesce(listed, F.when(F.col("word").endswith("ing"), "NOUN").otherwise(ending))).alias("word_class"))
+
+
+def h8_measurements(spark: SparkSession, d: str) -> DataFrame:
+    """Measurement nodes with the concept each hangs on; those found only by the wide window are of lower confidence."""
+    m = m7_linked(spark, d)
+    node = graph.node_id("measurement", "start", "end")
+    return m.select("case_id", node.alias("node"), "surface", "unit_category", F.when(F.col("linked_cui").isNotNull(), graph.node_id("concept", "linked_cui")).alias("owner"), (F.col("link_method") == "window_fallback").alias("lower_confidence"))
+
+
+def h14_owners(spark: SparkSession, d: str) -> DataFrame:
+    """Measurements of each owner, the first 10 named."""
+    h = h8_measurements(spark, d).filter("owner is not null")
+    first = F.array_join(F.slice(F.array_sort(F.collect_set("node")), 1, 10), " ")
+    return h.groupBy("case_id", "owner").agg(F.count("*").alias("n"), first.alias("shown"))
+
+
+
 WORD = r"[a-z][a-z\-']*-[0-9]+(?:[.,][0-9]+)*|[a-z][a-z\-']*|[0-9]+(?:[.,][0-9]+)*"
 WORD_SQL = WORD.replace("'", "''")
 TOKEN_SQL = ft.TOKEN.replace("'", "''")
@@ -201,6 +227,7 @@ GENDER_SQL = tb.sql("c") + """, p AS (SELECT case_id, regexp_replace(regexp_repl
 TOKENS_SQL = f"""WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '{TOKEN_SQL}|[^A-Za-z0-9]+')) x, generate_subscripts(regexp_extract_all(text, '{TOKEN_SQL}|[^A-Za-z0-9]+'), 1) i FROM documents),
     o AS (SELECT doc_id, x, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) e FROM p)
     SELECT doc_id, count(*) n_tokens, sum(e - length(x))::bigint sum_start, max(e)::int last_end FROM o WHERE regexp_matches(x, '^[A-Za-z0-9]') GROUP BY doc_id"""
+CLASS_SQL = "CASE WHEN regexp_matches(word, '^[0-9]') THEN 'NUM' " + " ".join(f"WHEN word IN ({', '.join(repr(w) for w in sorted(x for x, y in relate.word_classes().items() if y == c))}) THEN '{c}'" for c in sorted(set(relate.word_classes().values()))) + " WHEN suffix(word, 'ing') THEN 'NOUN' " + " ".join(f"WHEN suffix(word, '{s}') AND length(word) > {len(s) + 1} THEN '{c}'" for s, c in relate.suffixes()) + " ELSE 'NOUN' END"
 SQL = {
     "x1_tokens": TOKENS_SQL,
     "c1_dropped": tb.sql("c") + f"SELECT case_id, age, gender FROM c WHERE case_id NOT IN {tuple(DROPPED)}",
@@ -221,6 +248,7 @@ SQL = {
     "x4_ngrams": tb.sql("t") + f""", w AS (SELECT trecho_id, regexp_extract_all(lower(texto), '{WORD_SQL}') w FROM t), i AS (SELECT w, unnest(range(1, len(w) + 1)) i FROM w)
         SELECT array_to_string(w[i:i + 1], ' ') gram, 2 n, count(*) count FROM i WHERE i + 1 <= len(w) GROUP BY gram HAVING count(*) >= 2
         UNION ALL SELECT array_to_string(w[i:i + 2], ' '), 3, count(*) FROM i WHERE i + 2 <= len(w) GROUP BY 1 HAVING count(*) >= 2""",
+    "t4_word_classes": tb.sql("c") + f", w AS (SELECT unnest(regexp_extract_all(lower(case_text), '{WORD_SQL}')) word FROM c) SELECT word, count(*) n, {CLASS_SQL} word_class FROM w GROUP BY word",
     "t3_clauses": tb.sql("r") + "SELECT token_gap, count(*) FILTER (WHERE same_clause) same, count(*) n FROM r GROUP BY ALL",
 }
-QUERIES = {f.__name__: f for f in (c1_dropped, c2_merged, c3_without_boilerplate, c4_digits, c5_demographics, c7_gender, c8_overridden, c10_audit, c11_span_faults, g1_normalized, g3_priority, g4_kept, g5_best, g6_stop_terms, g7_statistics, g7_lengths, x1_tokens, x3_words, x4_ngrams, e1_windows, e5_entities, e7_surfaces, m1_measurements, m7_linked, m9_counts, r15_relations, r16_counts, r17_ablations, t3_clauses)}
+QUERIES = {f.__name__: f for f in (c1_dropped, c2_merged, c3_without_boilerplate, c4_digits, c5_demographics, c7_gender, c8_overridden, c10_audit, c11_span_faults, g1_normalized, g3_priority, g4_kept, g5_best, g6_stop_terms, g7_statistics, g7_lengths, x1_tokens, x3_words, x4_ngrams, e1_windows, e5_entities, e7_surfaces, m1_measurements, m7_linked, m9_counts, r15_relations, r16_counts, r17_ablations, t3_clauses, t4_word_classes, h8_measurements, h14_owners)}

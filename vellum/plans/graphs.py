@@ -9,6 +9,7 @@ from ..operators import graph, ontology
 from ..operators.rank import earliest
 from ..operators.references import reference_key
 from ..session import table
+from ..sources import sinks
 from . import tables as tb
 
 #: Direction of the delivered attributes.
@@ -139,6 +140,21 @@ def h18_degrees(spark: SparkSession, d: str) -> DataFrame:
     return graph.degrees(graph_edges(spark, d)).withColumn("mean_degree", F.round("mean_degree", 6))
 
 
+def h12_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """A hash of each case's graph in canonical JSON."""
+    n = all_nodes(spark, d).select("case_id", "node", "label", "n_mentions")
+    return sinks.fingerprints(sinks.graph_json(n, graph_edges(spark, d).select("case_id", "source", "target", "relation", "n", "status")))
+
+
+def h19_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The spans behind every edge of the graph."""
+    r = tb.relations(spark, d, ["case_id", "relation", "head_kind", "head_cui", "tail_cui", "head_start", "head_end", "tail_start", "tail_end"])
+    r = r.filter("tail_cui is not null and (head_kind = 'Person' or head_cui is not null)")
+    spans = F.array_sort(F.collect_set(F.concat_ws("-", "head_start", "head_end", "tail_start", "tail_end")))
+    return r.groupBy("case_id", "relation", F.coalesce("head_cui", F.lit("person")).alias("head"), F.col("tail_cui").alias("tail")).agg(F.count("*").alias("n"), F.array_join(spans, " ").alias("spans"))
+
+
+
 def a1_types(spark: SparkSession, d: str) -> DataFrame:
     return tb.mentions(spark, d).groupBy("entity_type").agg(F.count("*").alias("n"), F.countDistinct("cui").alias("n_cuis"))
 
@@ -215,6 +231,7 @@ SQL = {
     "h10_faults": ALL_SQL + "SELECT 'repeated node' fault, count(*) n FROM (SELECT 1 FROM a GROUP BY case_id, node HAVING count(*) > 1) UNION ALL SELECT 'dangling end', count(*) FROM (SELECT case_id, source node FROM q UNION ALL SELECT case_id, target FROM q) ANTI JOIN a USING (case_id, node)",
     "h11_filtered": ALL_SQL + ", f AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY context DESC, n_mentions DESC, label, node) <= 8) SELECT q.case_id, relation, source, target, n FROM q SEMI JOIN f s ON s.case_id = q.case_id AND s.node = source SEMI JOIN f t ON t.case_id = q.case_id AND t.node = target",
     "h13_types": tb.sql("r", "o") + "SELECT DISTINCT case_id, 'concept:' || cui source, 'type:' || entity_type target FROM o",
+    "h19_evidence": tb.sql("r") + "SELECT case_id, relation, coalesce(head_cui, 'person') head, tail_cui tail, count(*) n, string_agg(DISTINCT concat_ws('-', head_start, head_end, tail_start, tail_end), ' ' ORDER BY concat_ws('-', head_start, head_end, tail_start, tail_end)) spans FROM r WHERE tail_cui IS NOT NULL AND (head_kind = 'Person' OR head_cui IS NOT NULL) GROUP BY ALL",
     "h15_best": KEYED_SQL + "SELECT case_id, head_start, tail_start, relation, score, rel_id FROM k",
     "h16_merged": KEYED_SQL + "SELECT * FROM v",
     "h17_compared": KEYED_SQL + f"SELECT relation, {CMP} FROM v GROUP BY relation UNION ALL SELECT 'TOTAL', {CMP} FROM v",
@@ -227,4 +244,4 @@ SQL = {
     "a8_demographics": tb.sql("c") + ", x AS (SELECT coalesce(gender, '?') gender, coalesce((floor(try_cast(age AS double) / 10) * 10)::int, -1) AS dec FROM c) SELECT gender, dec AS \"decade\", count(*) n, grouping(gender, dec)::int AS level FROM x GROUP BY CUBE (gender, dec)",
     "a8_vocabulary": tb.sql("r", "o", "g") + ", x AS (SELECT vocabulary, count(*) n FROM o JOIN (SELECT DISTINCT cui, vocabulary FROM g) USING (cui) GROUP BY ALL) SELECT vocabulary, n, round(n / sum(n) OVER (), 6) share FROM x",
 }
-QUERIES = {f.__name__: f for f in (o1_concepts, o2_edges, o3_first_edges, o4_pairs, o5_type_prior, h1_ids, h2_hashes, h4_concepts, h5_mentions, h6_edges, h7_ontology_edges, h9_demographics, h10_faults, h11_filtered, h13_types, h15_best, h16_merged, h17_compared, h18_degrees, a1_types, a2_pivot, a3_case_sets, a8_shared_findings, a8_treatments, a8_demographics, a8_vocabulary)}
+QUERIES = {f.__name__: f for f in (o1_concepts, o2_edges, o3_first_edges, o4_pairs, o5_type_prior, h1_ids, h2_hashes, h4_concepts, h5_mentions, h6_edges, h7_ontology_edges, h9_demographics, h10_faults, h11_filtered, h12_fingerprints, h13_types, h15_best, h16_merged, h17_compared, h18_degrees, h19_evidence, a1_types, a2_pivot, a3_case_sets, a8_shared_findings, a8_treatments, a8_demographics, a8_vocabulary)}

@@ -202,6 +202,50 @@ def v12_left(spark: SparkSession, d: str) -> DataFrame:
     return p.join(done, PAIR, "left_anti")
 
 
+def n8_lm_score(spark: SparkSession, d: str) -> DataFrame:
+    """How much likelier the words between the ends are among relations than among others, clipped to -1..1, without the
+    rows of the same case."""
+    c = candidates(spark, d).select("rel_id", "case_id", ft.words("between").alias("w"), F.array_contains("rule_path", "clause").alias("yes"))
+    part = lambda keep, name: association.held_out(c, "w", "rel_id", "case_id", c.filter(keep)).withColumnRenamed("logp", name)
+    j = part(F.col("yes"), "a").join(part(~F.col("yes"), "b"), "rel_id")
+    return j.select("rel_id", F.round(F.least(F.greatest(F.col("a") - F.col("b"), F.lit(-3.0)), F.lit(3.0)) / 3, 6).alias("lm_score"))
+
+
+def f10_stacked(spark: SparkSession, d: str) -> DataFrame:
+    """Structural features with the held-out language score as one more."""
+    return features.structural(candidates(spark, d)).unionByName(n8_lm_score(spark, d).select("rel_id", F.lit("lm_score").alias("feature"), F.col("lm_score").alias("value")))
+
+
+def f14_applied(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates that the fixed weights take for relations, with their probability as score."""
+    return f9_decided(spark, d).filter("class <> 'NENHUMA'").join(tb.relations(spark, d, ["case_id", "relation"]).drop("extracted_at"), "rel_id").select("rel_id", "case_id", "relation", F.col("probability").alias("score"))
+
+
+def v6_cross_validated(spark: SparkSession, d: str) -> DataFrame:
+    """Detection by weights fitted without the cases of the fold, for three folds of cases."""
+    e = cut(examples(spark, d).join(tb.relations(spark, d, ["case_id"]).select(F.col("rel_id").alias("id"), F.pmod(F.xxhash64("case_id"), F.lit(3)).alias("fold")), "id"))
+    out = None
+    for k in range(3):
+        w = features.logistic(e.filter(F.col("fold") != k), rounds=8)
+        rows = e.filter(F.col("fold") == k)
+        x = rows.select("id", "feature", "value", "label").unionByName(rows.select("id", F.lit("(bias)").alias("feature"), F.lit(1.0).alias("value"), "label").distinct())
+        z = x.join(w, "feature").groupBy("id", "label").agg(F.sum(F.col("value") * F.col("weight")).alias("z")).withColumn("fold", F.lit(k))
+        out = z if out is None else out.unionByName(z)
+    hit, true = F.col("z") > 0, F.col("label") == 1
+    return rounded(evaluate.prf(out.groupBy("fold").agg(F.count_if(hit & true).alias("tp"), F.count_if(hit & ~true).alias("fp"), F.count_if(~hit & true).alias("fn"))))
+
+
+def v7_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """What a stricter threshold changes: agreement, relations recovered and lost, false ones removed and new."""
+    a, b = judged(spark, d, 2.5).withColumnRenamed("predicted", "pa").drop("score"), judged(spark, d, 0.5).select(*PAIR, F.col("predicted").alias("pb"))
+    same = [a[c].eqNullSafe(b[c]) for c in PAIR]
+    j = a.join(b, same[0] & same[1] & same[2])
+    x, y, t = F.col("pa").isNotNull(), F.col("pb").isNotNull(), F.col("is_relation")
+    n = F.count_if
+    return j.agg(n(x == y).alias("agree"), n(t & ~x & y).alias("recovered"), n(t & x & ~y).alias("lost"), n(~t & x & ~y).alias("false_removed"), n(~t & ~x & y).alias("false_new"))
+
+
+
 W_SQL = tb.sql("t") + f""", w AS (SELECT trecho_id, case_id, regexp_extract_all(lower(texto), '{WORD_SQL}') w FROM t), i AS (SELECT trecho_id, case_id, w, unnest(range(1, len(w) + 1)) i FROM w),
     u AS (SELECT w[i] w, count(*) f FROM i GROUP BY ALL), b AS (SELECT w[i] w1, w[i + 1] w2, count(*) c FROM i WHERE i < len(w) GROUP BY ALL),
     l AS (SELECT w1, sum(c) l FROM b GROUP BY ALL), r AS (SELECT w2, sum(c) r FROM b GROUP BY ALL), nn AS (SELECT (SELECT sum(c) FROM b)::double nb, (SELECT sum(f) FROM u)::double nu),
@@ -269,7 +313,13 @@ SQL = {
         SELECT round({F1.format('a_')} - {F1.format('b_')}, 6) difference, round(v[6], 6) low, round(v[195], 6) high, round(len(list_filter(v, lambda x: x > 0)) / 200.0::double, 6) over_0 FROM w, q""",
     "v9_win_tie_loss": TWO_SQL + f", x AS (SELECT {F1.format('a_')} a, {F1.format('b_')} b FROM cc) SELECT count(*) FILTER (WHERE a - b > 1e-9) wins, count(*) FILTER (WHERE abs(a - b) <= 1e-9) ties, count(*) FILTER (WHERE a - b < -1e-9) losses, round(avg(a), 6) mean_a, round(stddev_pop(a), 6) sd_a FROM x",
     "v10_who_is_right": GOLD_SQL + judged_sql(0.5, "ja") + ", " + judged_sql(2.5, "jb") + " SELECT ja.gold_relation, CASE WHEN ja.predicted IS NOT NULL AND jb.predicted IS NOT NULL THEN 'both' WHEN ja.predicted IS NOT NULL THEN 'a' WHEN jb.predicted IS NOT NULL THEN 'b' ELSE 'none' END who, count(*) n FROM ja JOIN jb ON ja.case_id = jb.case_id AND ja.head_start IS NOT DISTINCT FROM jb.head_start AND ja.tail_start IS NOT DISTINCT FROM jb.tail_start WHERE ja.is_relation GROUP BY ALL",
+    "f14_applied": FEAT_SQL + """, w(class, feature, weight) AS (VALUES ('REL', 'mesma_clausula', 1.2::double), ('REL', 'distancia:1_3', 1.0), ('REL', 'distancia:mais_10', -1.5), ('NENHUMA', 'n_palavras_entre', 2.0), ('NENHUMA', 'paciente_cabeca', 0.5)), b(class, bias) AS (VALUES ('REL', -0.5::double), ('NENHUMA', 0.1)),
+        s AS (SELECT rel_id, w.class, sum("value" * weight) s FROM fs JOIN w USING (feature) GROUP BY ALL), zz AS (SELECT i.rel_id, b.class, 1 / (1 + exp(-(coalesce(s, 0) + bias))) p FROM (SELECT DISTINCT rel_id FROM fs) i CROSS JOIN b LEFT JOIN s ON s.rel_id = i.rel_id AND s.class = b.class),
+        dd AS (SELECT rel_id, class, round(p / t, 6) score FROM (SELECT *, sum(p) OVER (PARTITION BY rel_id) t FROM zz) QUALIFY row_number() OVER (PARTITION BY rel_id ORDER BY p DESC, class) = 1)
+        SELECT rel_id, r.case_id, r.relation, dd.score FROM dd JOIN r USING (rel_id) WHERE class <> 'NENHUMA'""",
+    "v7_diagnostics": GOLD_SQL + judged_sql(2.5, "ja") + ", " + judged_sql(0.5, "jb") + """ SELECT count(*) FILTER (WHERE x = y) agree, count(*) FILTER (WHERE t AND NOT x AND y) recovered, count(*) FILTER (WHERE t AND x AND NOT y) lost, count(*) FILTER (WHERE NOT t AND x AND NOT y) false_removed, count(*) FILTER (WHERE NOT t AND NOT x AND y) false_new
+        FROM (SELECT ja.predicted IS NOT NULL x, jb.predicted IS NOT NULL y, ja.is_relation t FROM ja JOIN jb ON ja.case_id = jb.case_id AND ja.head_start IS NOT DISTINCT FROM jb.head_start AND ja.tail_start IS NOT DISTINCT FROM jb.tail_start)""",
     "v11_sample": tb.sql("r", "o") + ", n AS (SELECT case_id, count(*) size FROM o GROUP BY case_id), k AS (SELECT *, row_number() OVER (ORDER BY size, case_id) - 1 r, count(*) OVER () n FROM n) SELECT case_id, size, r FROM k WHERE r IN (SELECT (i * (SELECT count(*) FROM n)) // 20 FROM range(20) t(i))",
     "v12_left": GOLD_SQL + "p AS (SELECT DISTINCT case_id, head_start, tail_start FROM r WHERE score >= -1e9) SELECT * FROM p ANTI JOIN gold USING (case_id, head_start, tail_start)",
 }
-QUERIES = {f.__name__: f for f in (n2_association, n4_top_pmi, n5_table, n7_log_probability, n9_held_out, n10_triggers, a7_hapax, f1_between, f2_structural, f3_association, f4_ngram_features, f5_gold, f6_weak_labels, f7_weights, f9_decided, f13_top_weights, v1_detection, v2_per_relation, v3_sweep, v5_per_case, v5_confusion, v8_bootstrap, v9_win_tie_loss, v10_who_is_right, v11_sample, v12_left)}
+QUERIES = {f.__name__: f for f in (n2_association, n4_top_pmi, n5_table, n7_log_probability, n9_held_out, n10_triggers, a7_hapax, f1_between, f2_structural, f3_association, f4_ngram_features, f5_gold, f6_weak_labels, f7_weights, f9_decided, f10_stacked, f13_top_weights, f14_applied, n8_lm_score, v6_cross_validated, v7_diagnostics, v1_detection, v2_per_relation, v3_sweep, v5_per_case, v5_confusion, v8_bootstrap, v9_win_tie_loss, v10_who_is_right, v11_sample, v12_left)}
