@@ -15,7 +15,7 @@ DROPPED = ["ART00000001_01", "ART00000002_01", "ART00000003_01"]
 
 
 def c1_dropped(spark: SparkSession, d: str) -> DataFrame:
-    return tb.cases(spark, d).filter(~F.col("case_id").isin(DROPPED)).select("case_id", "age", "gender")
+    return tb.cases(spark, d, ["age", "gender"]).filter(~F.col("case_id").isin(DROPPED)).select("case_id", "age", "gender")
 
 
 def fragment_groups(c: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def fragment_groups(c: DataFrame) -> DataFrame:
 
 
 def c2_merged(spark: SparkSession, d: str) -> DataFrame:
-    c = tb.cases(spark, d)
+    c = tb.cases(spark, d, ["article_id", "age", "gender", "case_text"])
     m = corpus.merge_fragments(c, fragment_groups(c))
     return m.select("group_id", "age", "gender", F.array_join("source_case_ids", "|").alias("source_case_ids"), F.sha2("case_text", 256).alias("text_sha256"))
 
@@ -37,25 +37,25 @@ def c3_without_boilerplate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c4_digits(spark: SparkSession, d: str) -> DataFrame:
-    return tb.cases(spark, d).select("case_id", F.length(ft.digits_for_words(F.col("case_text"))).alias("n_chars"))
+    return tb.cases(spark, d, ["case_text"]).select("case_id", F.length(ft.digits_for_words(F.col("case_text"))).alias("n_chars"))
 
 
 def c5_demographics(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.demographics(tb.cases(spark, d)).select("case_id", "found_age", "found_age_method", "found_gender", "found_gender_method")
+    return corpus.demographics(tb.cases(spark, d, ["case_text"])).select("case_id", "found_age", "found_age_method", "found_gender", "found_gender_method")
 
 
 def c7_gender(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.demographics(tb.cases(spark, d)).select("case_id", "found_gender", "found_gender_method")
+    return corpus.demographics(tb.cases(spark, d, ["case_text"])).select("case_id", "found_gender", "found_gender_method")
 
 
 def c8_overridden(spark: SparkSession, d: str) -> DataFrame:
     o = spark.createDataFrame([(DROPPED[0], None, "Female"), (DROPPED[1], "44", None)], "case_id string, age string, gender string")
-    return corpus.override(tb.cases(spark, d), o, "case_id").select("case_id", "age", "gender")
+    return corpus.override(tb.cases(spark, d, ["age", "gender"]), o, "case_id").select("case_id", "age", "gender")
 
 
 def c10_audit(spark: SparkSession, d: str) -> DataFrame:
     """Where ages and genders differ from upstream, by method."""
-    c = tb.cases(spark, d)
+    c = tb.cases(spark, d, ["age", "age_upstream", "gender", "gender_upstream", "age_method", "gender_method"])
     n = lambda c: F.floor(F.expr(f"try_cast({c} as double)"))
     return c.groupBy("age_method", "gender_method").agg(F.count_if(n("age") != n("age_upstream")).alias("age_differs"), F.count_if(F.col("gender") != F.col("gender_upstream")).alias("gender_differs"), F.count("*").alias("n"))
 
@@ -63,7 +63,7 @@ def c10_audit(spark: SparkSession, d: str) -> DataFrame:
 def c11_span_faults(spark: SparkSession, d: str) -> DataFrame:
     """Delivered spans that don't hold their surface, or of no case."""
     m = tb.mentions(spark, d)
-    return corpus.span_faults(m, tb.cases(spark, d), "start", "end", "surface").groupBy("fault").agg(F.count("*").alias("n"))
+    return corpus.span_faults(m, tb.cases(spark, d, ["case_text"]), "start", "end", "surface").groupBy("fault").agg(F.count("*").alias("n"))
 
 
 def g1_normalized(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +108,7 @@ def x1_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 def x3_words(spark: SparkSession, d: str) -> DataFrame:
     """Words of the case texts with their counts."""
-    return tb.cases(spark, d).select(F.explode(ft.words("case_text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return tb.cases(spark, d, ["case_text"]).select(F.explode(ft.words("case_text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def snippet_words(spark: SparkSession, d: str) -> DataFrame:
@@ -123,13 +123,13 @@ def x4_ngrams(spark: SparkSession, d: str) -> DataFrame:
 def entities(spark: SparkSession, d: str) -> DataFrame:
     """Dictionary entities of the case texts, longest match."""
     g = tb.gazetteer(spark, d).filter("retired_at is null")
-    hits = lexicon.candidates(tb.cases(spark, d), "case_id", "case_text", g, tb.entity_types(spark), excluded_terms=("treatment", "follow-up", "diagnosis"))
+    hits = lexicon.candidates(tb.cases(spark, d, ["case_text"]), "case_id", "case_text", g, tb.entity_types(spark), excluded_terms=("treatment", "follow-up", "diagnosis"))
     return lexicon.longest(hits, "case_id")
 
 
 def e1_windows(spark: SparkSession, d: str) -> DataFrame:
     """How many windows of each width the case texts have."""
-    return lexicon.windows(tb.cases(spark, d), "case_id", "case_text").groupBy("n").agg(F.count("*").alias("windows"), F.countDistinct("joined").alias("distinct_windows"))
+    return lexicon.windows(tb.cases(spark, d, ["case_text"]), "case_id", "case_text").groupBy("n").agg(F.count("*").alias("windows"), F.countDistinct("joined").alias("distinct_windows"))
 
 
 def e5_entities(spark: SparkSession, d: str) -> DataFrame:
@@ -143,12 +143,12 @@ def e7_surfaces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m1_measurements(spark: SparkSession, d: str) -> DataFrame:
-    return spans.measurements(tb.cases(spark, d), "case_id", "case_text")
+    return spans.measurements(tb.cases(spark, d, ["case_text"]), "case_id", "case_text")
 
 
 def m7_linked(spark: SparkSession, d: str) -> DataFrame:
     """Measurements with the entity each belongs to."""
-    c = tb.cases(spark, d)
+    c = tb.cases(spark, d, ["case_text"])
     e = spans.numbered(entities(spark, d), spans.sentence_starts(c, "case_id", "case_text"), "case_id")
     return spans.link(spans.measurements(c, "case_id", "case_text"), e, "case_id")
 
@@ -159,7 +159,7 @@ def m9_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def r15_relations(spark: SparkSession, d: str) -> DataFrame:
     """Relations drawn from the case texts by the rules."""
-    return relate.relations(tb.cases(spark, d), cut(entities(spark, d)), "case_id", "case_text")
+    return relate.relations(tb.cases(spark, d, ["case_text"]), cut(entities(spark, d)), "case_id", "case_text")
 
 
 def r16_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +168,7 @@ def r16_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def r17_ablations(spark: SparkSession, d: str) -> DataFrame:
     """How many relations the rules draw with each part switched off."""
-    c, e = tb.cases(spark, d), cut(entities(spark, d))
+    c, e = tb.cases(spark, d, ["case_text"]), cut(entities(spark, d))
     out = None
     for name, o in {"all": relate.Options(), "word_class_backoff": relate.Options(word_class_backoff=False), "coordination": relate.Options(coordination=False), "negation": relate.Options(negation=False), "transitions": relate.Options(transitions=False)}.items():
         n = relate.relations(c, e, "case_id", "case_text", o).groupBy("relation").agg(F.count("*").alias("n"), F.count_if(F.col("assertion_status") == "negated").alias("negated")).withColumn("without", F.lit(name))

@@ -72,7 +72,7 @@ def h1_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def h2_hashes(spark: SparkSession, d: str) -> DataFrame:
-    return tb.cases(spark, d).select("case_id", F.sha2("case_text", 256).alias("text_sha256"))
+    return tb.cases(spark, d, ["case_text"]).select("case_id", F.sha2("case_text", 256).alias("text_sha256"))
 
 
 def h4_concepts(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +96,7 @@ def h7_ontology_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def h9_demographics(spark: SparkSession, d: str) -> DataFrame:
-    return graph.demographic_nodes(tb.cases(spark, d))
+    return graph.demographic_nodes(tb.cases(spark, d, ["article_id", "age", "gender"]))
 
 
 def h10_faults(spark: SparkSession, d: str) -> DataFrame:
@@ -186,7 +186,7 @@ def a8_treatments(spark: SparkSession, d: str) -> DataFrame:
 def a8_demographics(spark: SparkSession, d: str) -> DataFrame:
     """Cases by gender and decade of age, with subtotals."""
     decade = (F.floor(F.expr("try_cast(age as double)") / 10) * 10).cast("int")
-    return tb.cases(spark, d).select(F.coalesce("gender", F.lit("?")).alias("gender"), F.coalesce(decade, F.lit(-1)).alias("decade")).cube("gender", "decade").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
+    return tb.cases(spark, d, ["age", "gender"]).select(F.coalesce("gender", F.lit("?")).alias("gender"), F.coalesce(decade, F.lit(-1)).alias("decade")).cube("gender", "decade").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
 
 
 def a8_vocabulary(spark: SparkSession, d: str) -> DataFrame:

@@ -29,7 +29,7 @@ def n4_top_pmi(spark: SparkSession, d: str) -> DataFrame:
 def n5_table(spark: SparkSession, d: str) -> DataFrame:
     """Two-word grams between entities and in whole texts, side by side."""
     between = association.counts(snippet_words(spark, d), "w", 2).select("gram", F.col("count").alias("between"))
-    whole = association.counts(tb.cases(spark, d).select(ft.words("case_text").alias("w")), "w", 2).select("gram", F.col("count").alias("corpus"))
+    whole = association.counts(tb.cases(spark, d, ["case_text"]).select(ft.words("case_text").alias("w")), "w", 2).select("gram", F.col("count").alias("corpus"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return between.join(whole, "gram", "full").select("gram", z("between"), z("corpus")).filter("between + corpus >= 2")
 
@@ -58,9 +58,12 @@ def a7_hapax(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.count("*").alias("grams"), F.count_if(F.col("count") == 1).alias("hapax")).withColumn("share", F.round(F.col("hapax") / F.col("grams"), 6))
 
 
+CANDIDATE = "case_id head_kind head_start head_end head_entity_type tail_start tail_end tail_entity_type sent_start token_gap same_clause rule_path".split()
+
+
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """Delivered relations with the text between their ends."""
-    r = tb.relations(spark, d).join(tb.cases(spark, d).select("case_id", "case_text"), "case_id")
+    r = tb.relations(spark, d, CANDIDATE).join(tb.cases(spark, d, ["case_text"]).select("case_id", "case_text"), "case_id")
     z = lambda c: F.coalesce(F.col(c), F.lit(-1))
     return r.withColumn("between", features.text_between(F.col("case_text"), z("head_end"), z("tail_start"), z("head_start"), z("tail_end"), z("sent_start")))
 

@@ -16,8 +16,12 @@ TYPES = {
 VOCABULARIES = {"MEDLEX": 0, "CLINVOC": 1, "DXLIST": 2, "DRUGIX": 3, "LABCODE": 4}
 
 
-def cases(spark: SparkSession, d: str) -> DataFrame:
-    return earliest(table(spark, d, "cases_clean"), "case_id", "loaded_at", "article_id", "age", "gender", "age_upstream", "gender_upstream", "age_method", "gender_method", "case_text", "source_case_ids")
+CASE = "article_id age gender age_upstream gender_upstream age_method gender_method case_text source_case_ids".split()
+
+
+def cases(spark: SparkSession, d: str, columns: list[str] | None = None) -> DataFrame:
+    """Cases; only the asked columns are read."""
+    return earliest(table(spark, d, "cases_clean"), "case_id", "loaded_at", *(columns or CASE))
 
 
 RELATION = "case_id article_id relation assertion_status head_kind head_start head_end head_cui head_entity_type head_text tail_start tail_end tail_cui tail_entity_type tail_text trigger_text trigger_start trigger_end trigger_category sent_start sent_end token_gap same_clause score rule_path".split()
