@@ -33,10 +33,10 @@ ORDINAL_BEFORE = "am zum vom der den dem im ab bis des seit".split()
 ORDINAL_AFTER = "tag tages woche monat jahr jahrhundert januar februar märz april mai juni juli august september oktober november dezember stock".split()
 #: Prior weights, in log odds; training moves them.
 PRIOR = {
-    "bias": 1.0, "m=.": 0.0, "m=。": 4.0, "m=．": 4.0, "m=?": 1.5, "m=!": 1.5, "m=।": 4.0, "m=…": -3.0,
+    "bias": 1.0, "m=.": 0.0, "m=。": 4.0, "m=．": 4.0, "m=?": 1.5, "m=!": 1.5, "m=।": 4.0, "m=…": -5.0,
     "n=U": 1.5, "n=camel": 1.0, "n=l": -4.0, "n=d": -0.5, "n=o": 0.5, "n=open": 1.5, "n=p": -4.0, "n=comma": -8.0, "n=end": 2.0,
-    "title": -7.0, "abbr": -2.5, "abbr,U": -1.0, "abbr,d": -2.0, "initial": -4.0, "ordinal": -6.0, "abbr,short": -4.0, "tight,l": -3.0, "tight,abbr": -2.0,
-    "q,o": -6.0, "q,U": 0.5, "q,l": -4.0, "cjk.": 4.5, "cjk.,title": -4.5, "inner": -2.0,
+    "title": -7.0, "abbr": -2.5, "abbr,U": 0.3, "abbr,d": -2.0, "initial": -4.0, "letter": -3.0, "ordinal": -8.0, "abbr,short": -4.0, "tight,l": -3.0, "tight,abbr": -2.0,
+    "q,o": -12.0, "q,U": 0.5, "q,l": -4.0, "cjk.": 4.5, "cjk.,title": -4.5, "inner": -2.0,
 }
 
 
@@ -94,7 +94,7 @@ def features(text: str, a: int, b: int, m: re.Match, words: int, nxt: int | None
     marks = m.group()
     before = LAST.search(text, max(a, m.start() - 40), m.start())
     prev = (before.group() if before else "").strip("'’-*_")
-    glued = bool(before) and before.start() > a and text[before.start() - 1] == "." and before.start() - 2 >= a and not text[before.start() - 2].isspace()
+    glued = bool(before) and before.start() - 2 >= a and text[before.start() - 1] == "." and text[before.start() - 2].isalpha()
     at = m.end() if nxt is None else nxt
     end = b if nxt is None else len(text)
     gap_end = at
@@ -106,6 +106,10 @@ def features(text: str, a: int, b: int, m: re.Match, words: int, nxt: int | None
     word = found.group() if found else ""
     n = next_class(word, char)
     first = marks[0]
+    # case tells nothing in text without it
+    wide = first in "。．？！｡" or bool(CJK.match(text[m.start() - 1 : m.start()] or " "))
+    wide = wide or (tight and n in ("l", "camel") and bool(CJK.search(text, max(a, m.start() - 60), min(b, m.end() + 60))))
+    n = "o" if wide and n in ("l", "camel", "U") and not prev.lower() in TITLES else n
     kind = "…" if first == "…" or marks.startswith("..") else {"．": "．", "。": "。", "｡": "。", "？": "?", "！": "!", "؟": "?", "॥": "।", "۔": "।"}.get(first, first)
     low = prev.lower()
     closed = marks[-1] not in ".．。｡!?！？।॥…؟۔"
@@ -117,12 +121,12 @@ def features(text: str, a: int, b: int, m: re.Match, words: int, nxt: int | None
         title = low in TITLES and (low != "m" or (prev == "M" and not glued)) and not number
         single = len(prev) == 1 and prev.isalpha() and prev.isupper()
         abbr = glued or low in ABBREVIATIONS or single
-        cjk = bool(CJK.match(text[m.start() - 1 : m.start()] or " ") or CJK.match(char or " ") or (tight and n in "lo" and CJK.search(text, max(a, m.start() - 60), min(b, m.end() + 60))))
+        cjk = wide or bool(CJK.match(char or " "))
         if number:
             head = LAST.search(text, max(a, before.start() - 30), len(text[: before.start()].rstrip())) if before else None
             if (head and head.group().lower() in ORDINAL_BEFORE and n == "U") or word.lower() in ORDINAL_AFTER or char in "ºª°":
                 out.append("ordinal")
-        out += ["title"] * title + ["initial"] * (single and not title) + ["abbr", f"abbr,{n}"] * (abbr and not title) + ["abbr,short"] * ((abbr or title) and words <= 3) + ["tight,abbr"] * (tight and abbr)
+        out += ["title"] * title + ["initial"] * (single and not title) + ["letter"] * (len(prev) == 1 and prev.islower() and not glued) + ["abbr", f"abbr,{n}"] * (abbr and not title) + ["abbr,short"] * ((abbr or title) and words <= 3) + ["tight,abbr"] * (tight and abbr)
         out += (["cjk.", *["cjk.,title"] * (title or abbr)] if cjk else ["tight,l"] * (tight and n in ("l", "d")))
     if closed:
         out += ["q", f"q,{n}"]
@@ -164,7 +168,7 @@ def labelled(text: str) -> Iterator[tuple[list[str], int]]:
             number = "w=#" in f
             if ("n=l" in f and "cjk." not in f and not inside and "g=space,l" in f) or "n=comma" in f:
                 yield f, 0
-            elif inside and text[next(s for s in spans if s[0] <= m.start() < s[1])[0]] in "([{（" and not number:
+            elif inside and "m=." in f and text[next(s for s in spans if s[0] <= m.start() < s[1])[0]] in "([{（" and not number:
                 yield f, 0
             elif "n=U" in f or "n=open" in f:
                 last = m.end()
