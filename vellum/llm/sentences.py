@@ -26,9 +26,9 @@ NEXT = re.compile(r"[^\s.,;:!?()\[\]{}\"“”„«»¿¡。！？、，；：
 LAST = re.compile(r"[^\s.,;:!?()\[\]{}\"“”„«»¿¡。！？、，；：」』「『（）।…]+$")
 CJK = re.compile(f"[{tokens.CJK}]")
 THAI = re.compile(f"[{tokens.THAI}]")
-#: Words before a period that name what follows, and others that are written with a period.
-TITLES = "dr dra prof profa mr mrs ms sr sra srta st ste sta mme mlle m mgr pr fr hr hon rev gen col capt lt sgt डॉ श्री प्रो".split()
-ABBREVIATIONS = "fig figs abb tab eq no nos nr núm num vol pp cap art sec ca cf vs approx aprox env bzw med resp viz al ed eds inc ltd co corp dept est vgl evtl ggf inkl ref v s p z b i e g d h u a x ex मि कि ग्रा सं рис табл т д см г ул".split()
+#: Words before a period that lead to what follows, and others that are written with a period.
+TITLES = "vs cf fig figs abb approx aprox ca bzw vgl dr dra prof profa mr mrs ms sr sra srta st ste sta mme mlle m mgr pr fr hr hon rev gen col capt lt sgt डॉ श्री प्रो".split()
+ABBREVIATIONS = "tab eq no nos nr núm num vol pp cap art sec env med resp viz al ed eds inc ltd co corp dept est evtl ggf inkl ref v s p z b i e g d h u a x ex मि कि ग्रा सं рис табл т д см г ул".split()
 ORDINAL_BEFORE = "am zum vom der den dem im ab bis des seit".split()
 ORDINAL_AFTER = "tag tages woche monat jahr jahrhundert januar februar märz april mai juni juli august september oktober november dezember stock".split()
 #: Prior weights, in log odds; training moves them.
