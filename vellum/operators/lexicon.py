@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,18 +57,19 @@ def windows(docs: DataFrame, key: str, text: str, widest: int = WINDOW, masked:
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            cols: list[list] = [[] for _ in range(7)]
+            rows: list[tuple] = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = [(m.group(), m.start(), m.end()) for m in TOKEN_RE.finditer(mask(t) if masked else t)] if t else []
-                for i in range(len(found)):
-                    for n in range(1, min(widest, len(found) - i) + 1):
-                        a, b = found[i][1], found[i + n - 1][2]
-                        for col, v in zip(cols, (k, i, n, a, b, t[a:b], " ".join(x[0] for x in found[i : i + n]))):
-                            col.append(v)
-                if len(cols[0]) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=ty) for c, ty in zip(cols, types(batch))], names)
-                    cols = [[] for _ in range(7)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=ty) for c, ty in zip(cols, types(batch))], names)
+                found = list(TOKEN_RE.finditer(mask(t) if masked else t)) if t else []
+                w, s, e = [m.group() for m in found], [m.start() for m in found], [m.end() for m in found]
+                for n in range(1, widest + 1):
+                    rows += [(k, i, n, s[i], e[j], t[s[i] : e[j]], " ".join(w[i : j + 1])) for i, j in enumerate(range(n - 1, len(w)))]
+                if len(rows) > 200_000:
+                    yield frame(rows, batch)
+                    rows = []
+            yield frame(rows, batch)
+
+    def frame(rows: list[tuple], batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=ty) for c, ty in zip(zip(*rows) if rows else [[]] * 7, types(batch))], names)
 
     names = [key, "i", "n", "start", "end", "surface", "joined"]
     types = lambda b: [b.schema.field(0).type, *[pa.int32()] * 4, pa.string(), pa.string()]
@@ -85,7 +86,9 @@ def candidates(docs: DataFrame, key: str, text: str, gazetteer: DataFrame, types
     order = ["coalesce(priority, 2147483647)", "cui is null", "cui", "coalesce(term_pref, '')", "coalesce(vocabulary, '')", "coalesce(tty, '')"]
     exact = best(g.drop("sort_key").filter("term_norm is not null"), ["term_norm"], order).select(F.col("term_norm").alias("norm"), F.struct(*row).alias("x"))
     loose = best(g.drop("term_norm").filter("sort_key is not null"), ["sort_key"], order).select(F.col("sort_key").alias("key_"), F.struct(*row).alias("y"))
-    w = windows(docs, key, text).withColumn("norm", normalize("joined")).drop("joined")
+    # a window of n tokens has n words or more, so none wider than the longest term can match
+    longest_term = g.agg(F.max(F.greatest(F.size(F.split("term_norm", " ")), F.size(F.split("sort_key", " "))))).first()[0]
+    w = windows(docs, key, text, min(WINDOW, max(longest_term or 1, 1))).withColumn("norm", normalize("joined")).drop("joined")
     w = w.withColumn("key_", F.when(F.col("n") > 1, sort_key("norm")))
     hit = w.join(exact, "norm", "left").join(loose, "key_", "left").withColumn("h", F.coalesce("x", "y")).filter("h is not null")
     hit = hit.select(key, "i", "n", "start", "end", "surface", "norm", *[F.col(f"h.{c}").alias(c) for c in row])
@@ -98,19 +101,33 @@ def candidates(docs: DataFrame, key: str, text: str, gazetteer: DataFrame, types
 
 def longest(hits: DataFrame, key: str) -> DataFrame:
     """Greedy selection in each text: from left to right the longest window that starts at a free token. The state is
-    sequential, so windows of one text (never of a group of texts) are folded together."""
-    schema = hits.schema
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["i", "n"], ascending=[True, False])
-        free, rows = 0, []
-        for at, (i, n) in enumerate(zip(pdf["i"].tolist(), pdf["n"].tolist())):
-            if i >= free:
-                rows.append(at)
-                free = i + n
-        return pdf.iloc[rows]
-
-    return hits.groupBy(key).applyInPandas(pick, schema)
+    sequential, so the windows of one text (never of a group of texts) are gathered, in order, and folded in Arrow batches
+    of many texts."""
+    cols = [c for c in hits.columns if c != key]
+    rest = [c for c in cols if c not in ("i", "n")]
+    gathered = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", (-F.col("n")).alias("m"), *rest))).alias("hits"))
+    kept = F.struct("i", (-F.col("n")).alias("m"), *rest)
+    fields = hits.select(kept.alias("h")).schema["h"].dataType.simpleString()
+
+    def pick(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            lists = batch.column(1)
+            flat = pc.list_flatten(lists)
+            owner = pc.list_parent_indices(lists)
+            i, m = (pc.struct_field(flat, k).to_pylist() for k in (0, 1))
+            rows, last, free = [], -1, 0
+            for at, (d, x, y) in enumerate(zip(owner.to_pylist(), i, m)):
+                if d != last:
+                    last, free = d, 0
+                if x >= free:
+                    rows.append(at)
+                    free = x - y
+            rows = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner.take(rows)), flat.take(rows)], [key, "h"])
+
+    kind = dict(hits.dtypes)[key]
+    picked = gathered.select(key, "hits").mapInArrow(pick, f"{key} {kind}, h {fields}")
+    return picked.select(*[F.col(key) if c == key else (-F.col("h.m")).alias("n") if c == "n" else F.col(f"h.{c}").alias(c) for c in hits.columns])
 
 
 def statistics(terms: DataFrame, by: str) -> DataFrame:
