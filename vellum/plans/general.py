@@ -49,13 +49,23 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Direct and inherited orphans of each table, by distance: articles absent or not valid orphan their cases, those the
-    relations drawn from them."""
+    relations drawn from them. Counts of relations.case_id alone, as its SQL has it; p4_inherited goes down every key."""
     direct = direct_orphans(spark, d).select("table_name", "row_key")
     relations = earliest(table(spark, d, "relations"), "rel_id", "extracted_at", "case_id")
     edges = [Edge("relations", "cases_clean", relations.select(F.col("rel_id").alias("key"), F.trim("case_id").alias("ref")))]
     return cascade(direct, edges).groupBy("table_name", "depth").agg(F.count("*").alias("n_rows"))
 
 
+def p4_inherited(spark: SparkSession, d: str) -> DataFrame:
+    """Every orphaned row, direct (depth 0) or inherited, with its table, its own month and its distance. The keys are those
+    whose parents refer to something themselves: concepts and articles don't, so what refers to them is direct or sound."""
+    relations = earliest(table(spark, d, "relations"), "rel_id", "extracted_at", "case_id")
+    trechos = earliest(table(spark, d, "trechos"), "trecho_id", "recorded_at", "case_id")
+    child = lambda rows, key, at: rows.select(F.col(key).alias("key"), F.trim("case_id").alias("ref"), F.date_format(at, "yyyy-MM").alias("period"))
+    edges = [Edge("relations", "cases_clean", child(relations, "rel_id", "extracted_at")), Edge("trechos", "cases_clean", child(trechos, "trecho_id", "recorded_at"))]
+    return cascade(direct_orphans(spark, d), edges, keep=["period"]).select("table_name", "period", "row_key", "depth")
+
+
 ORPHANS_SQL = """
 WITH art AS (SELECT upper(trim(article_id)) k, arg_min(loaded_at, loaded_at) s, min_by(withdrawn_at_s, loaded_at) w FROM (
         SELECT *, coalesce(withdrawn_at, TIMESTAMP '9999-12-31') withdrawn_at_s FROM metadata) GROUP BY article_id),
@@ -81,5 +91,12 @@ SQL = {
         top AS (SELECT DISTINCT table_name, row_key FROM direct)
         SELECT table_name, 0 depth, count(*) n_rows FROM top GROUP BY ALL
         UNION ALL SELECT table_name, 1, count(*) FROM (SELECT * FROM down EXCEPT SELECT * FROM top) GROUP BY ALL""",
+    "p4_inherited": ORPHANS_SQL + """, tre AS (SELECT trecho_id, min_by(coalesce(case_id, ''), recorded_at) case_id, min(recorded_at) t FROM trechos GROUP BY trecho_id),
+        kids AS (SELECT 'relations' table_name, strftime(t, '%Y-%m') period, rel_id::varchar row_key, trim(case_id) ref FROM rel
+            UNION ALL SELECT 'trechos', strftime(t, '%Y-%m'), trecho_id::varchar, trim(case_id) FROM tre),
+        top AS (SELECT DISTINCT table_name, period, row_key FROM direct)
+        SELECT table_name, period, row_key, 0 depth FROM top
+        UNION ALL SELECT table_name, period, row_key, 1 FROM kids k WHERE ref IN (SELECT row_key FROM direct WHERE table_name = 'cases_clean')
+            AND NOT EXISTS (SELECT 1 FROM top t WHERE t.table_name = k.table_name AND t.row_key = k.row_key)""",
 }
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p4_found, p4_report, p4_cascade)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p4_found, p4_report, p4_cascade, p4_inherited)}
