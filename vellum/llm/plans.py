@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.packed import unpack
 from ..operators.rank import earliest
 from ..operators.references import reference_key
-from ..session import table
+from ..session import cut, table
 from . import cooccurrence, leakage, packing, repetition, sentences, splits
 
 
@@ -30,12 +30,24 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_stale(spark: SparkSession, d: str) -> DataFrame:
-    """The counts of all pairs with the published ones, spelling and order made even; a pair published twice counts once,
-    with its larger count."""
-    p = p1_pairs(spark, d).select("palavra_1", "palavra_2", "contagem")
+    """The counts of the pairs that are both published and still found, as its SQL has it; p1_compared has the others too."""
+    return p1_pairs(spark, d).select("palavra_1", "palavra_2", "contagem").join(published(spark, d), ["palavra_1", "palavra_2"])
+
+
+def published(spark: SparkSession, d: str) -> DataFrame:
+    """The published counts, spelling and order made even; a pair published twice counts once, with its larger count."""
     old = table(spark, d, "tabela_pmi").select(F.lower(F.trim("palavra_1")).alias("x"), F.lower(F.trim("palavra_2")).alias("y"), F.col("contagem").alias("published"))
-    old = old.select(F.least("x", "y").alias("palavra_1"), F.greatest("x", "y").alias("palavra_2"), "published").groupBy("palavra_1", "palavra_2").agg(F.max("published").alias("published"))
-    return p.join(old, ["palavra_1", "palavra_2"])
+    return old.select(F.least("x", "y").alias("palavra_1"), F.greatest("x", "y").alias("palavra_2"), "published").groupBy("palavra_1", "palavra_2").agg(F.max("published").alias("published"))
+
+
+def p1_compared(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair that is published or found, with both counts: contagem is 0 where a published pair stands in no trecho any
+    more, is_published tells a new pair from one published without a count."""
+    t = earliest(table(spark, d, "trechos"), "trecho_id", "recorded_at", "texto")
+    pairs = cooccurrence.pair_counts(cut(cooccurrence.baskets(t, "trecho_id", cooccurrence.words("texto"))))[0]
+    new = pairs.select(F.col("a").alias("palavra_1"), F.col("b").alias("palavra_2"), F.col("n_ab").alias("contagem"))
+    both = new.join(published(spark, d).withColumn("is_published", F.lit(True)), ["palavra_1", "palavra_2"], "full")
+    return both.select("palavra_1", "palavra_2", F.coalesce("contagem", F.lit(0)).alias("contagem"), "published", F.coalesce("is_published", F.lit(False)).alias("is_published"))
 
 
 P1_SQL = """
@@ -134,6 +146,8 @@ SQL = {
     "p1_found": P1_SQL + "SELECT a palavra_1, b palavra_2 FROM c JOIN f x ON x.w = a JOIN f y ON y.w = b, n WHERE n_ab >= 5 AND n_ab * n.n >= 8 * x.n * y.n",
     "p1_stale": P1_SQL + """, o AS (SELECT least(x, y) a, greatest(x, y) b, max(contagem) published FROM (SELECT lower(trim(palavra_1)) x, lower(trim(palavra_2)) y, contagem FROM tabela_pmi) GROUP BY ALL)
         SELECT a palavra_1, b palavra_2, n_ab contagem, published FROM c JOIN o USING (a, b)""",
+    "p1_compared": P1_SQL + """, o AS (SELECT least(x, y) a, greatest(x, y) b, max(contagem) published FROM (SELECT lower(trim(palavra_1)) x, lower(trim(palavra_2)) y, contagem FROM tabela_pmi) GROUP BY ALL)
+        SELECT coalesce(c.a, o.a) palavra_1, coalesce(c.b, o.b) palavra_2, coalesce(n_ab, 0) contagem, published, o.a IS NOT NULL is_published FROM c FULL JOIN o ON c.a = o.a AND c.b = o.b""",
 }
 SQL |= {"p6_found": "SELECT doc_id FROM documents WHERE octet_length(encode(text)) + 1 > 8192"}
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_stale, p3_found, p3_documents, p5_found, p5_splits, p6_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_shares, p8_cutoffs)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_stale, p1_compared, p3_found, p3_documents, p5_found, p5_splits, p6_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_shares, p8_cutoffs)}
