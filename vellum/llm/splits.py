@@ -136,13 +136,46 @@ def choose(sizes: list[tuple[int, int]], target: int) -> dict[int, int]:
     return out
 
 
+def repaired(left: dict[int, int], took: dict[int, int], target: int, most: int) -> dict[int, int]:
+    """took (size: count, out of left) brought nearer to target records by true sizes.
+
+    Components are added or taken back, the largest first, until the gap is less than any that could still be moved that
+    way; one more then crosses the target, and the other way is tried. If all components of the smallest size together are
+    as large as the largest component, the gap ends under one of them. Last, a pool of small ones, on either side, of at
+    most `most` records is dealt anew by exact subset sums, which can't end farther off, as the pool's own part is a sum.
+    """
+    took = {s: took.get(s, 0) for s in left}
+    gap = target - sum(s * n for s, n in took.items())
+    best, way, now = (abs(gap), gap, dict(took)), 1 if gap > 0 else -1, took
+    for _ in range(4):
+        free = lambda s: left[s] - now[s] if way > 0 else now[s]  # noqa: E731, B023
+        for s in sorted(left, reverse=True):
+            n = min(free(s), max(0, way * gap) // s)
+            now[s], gap = now[s] + way * n, gap - way * n * s
+        best = min(best, (abs(gap), gap, dict(now)), key=lambda x: x[0])
+        if more := min((s for s in left if gap and free(s)), default=0):
+            now[more], gap = now[more] + way, gap - way * more
+            best = min(best, (abs(gap), gap, dict(now)), key=lambda x: x[0])
+        way = -way
+    _, gap, took = best
+    pool, own, room = {}, 0, most
+    for s in sorted(left):
+        give, n = min(took[s], 64, room // (2 * s)), min(left[s] - took[s], 64, room // (2 * s))
+        if give + n:
+            pool[s], own, room = (give, give + n), own + give * s, room - (give + n) * s
+    if gap and pool:
+        for s, n in choose([(s, c) for s, (_, c) in sorted(pool.items(), reverse=True)], max(0, own + gap)).items():
+            took[s] += n - pool[s][0]
+    return took
+
+
 def quotas(sizes: list[tuple[int, int]], shares: list[float], exact: int = 1 << 22) -> list[Quota]:
     """Splits components (size, count) by shares, the smallest splits first, the last (largest) getting what remains.
 
     Subset sums are exact up to `exact` records. With more, sizes are counted in units of total/exact records: components of
     a unit or more enter the bitsets rounded, and those under a unit, which are finer than the rounding, then fill each
-    split up to its target, so that totals miss by less than one component of the smallest size there is, or by the rounding
-    of the large ones if there are no small ones.
+    split up to its target. repaired() settles by true sizes what the rounding missed: with enough components of the
+    smallest size left, totals miss by less than one of them.
     """
     total = sum(s * c for s, c in sizes)
     left = dict(sizes)
@@ -168,6 +201,7 @@ def quotas(sizes: list[tuple[int, int]], shares: list[float], exact: int = 1 <<
             for s in sorted((s for s in left if s < unit), reverse=True):
                 n = max(0, min(left[s], gap // s))
                 took[s], gap = n, gap - n * s
+            took = repaired(left, took, target, exact >> 4)
         for s, n in took.items():
             parts[s][k] += n
             left[s] -= n
