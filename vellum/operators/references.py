@@ -72,22 +72,20 @@ class Edge:
     rows: DataFrame
 
 
-def cascade(direct: DataFrame, edges: list[Edge], rounds: int = 50, keep: Sequence[str] = ()) -> DataFrame:
+def cascade(direct: DataFrame, edges: list[Edge], keep: Sequence[str] = ()) -> DataFrame:
     """(table_name, row_key, keep, depth): depth 0 for the direct orphans given in `direct` (table_name, row_key), n for rows
     whose nearest orphaned ancestor is n foreign keys up. Fixpoint: in each round, children of the rows found in the last
     round are sought by a semi-join, less those known; it ends when a round finds none, also on cyclic graphs.
     The columns `keep` of direct and of the edges' rows, which the row's key determines, are handed on.
     """
     known = cut(direct.select("table_name", F.col("row_key").cast("string").alias("row_key"), *keep).distinct().withColumn("depth", F.lit(0)))
-    frontier = known
-    for depth in range(1, rounds + 1):
-        found = None
+    frontier, depth = known, 0
+    while edges:
+        depth, found = depth + 1, None
         for e in edges:
             hit = frontier.filter(F.col("table_name") == e.parent).select(F.col("row_key").alias("ref"))
             new = e.rows.select(F.col("key").cast("string").alias("row_key"), F.col("ref").cast("string").alias("ref"), *keep).join(hit, "ref", "left_semi").select(F.lit(e.child).alias("table_name"), "row_key", *keep)
             found = new if found is None else found.unionByName(new)
-        if found is None:
-            break
         frontier = cut(found.distinct().join(known.select("table_name", "row_key"), ["table_name", "row_key"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
