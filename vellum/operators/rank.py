@@ -8,18 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BUCKETS = 64
+#: A bucket of group_rank holds about this many rows, however many there are.
+BUCKET_ROWS = 500_000
+LEAST_BUCKETS = 64
+#: Up to so many repeated keys are broadcast (a key is some 30 bytes); more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 
 
-def group_rank(df: DataFrame, key: str, by: Sequence[str], out: str = "rank", buckets: int = BUCKETS) -> DataFrame:
+def group_rank(df: DataFrame, key: str, by: Sequence[str], out: str = "rank", rows: int = 0) -> DataFrame:
     """0-based position of each row in its `key` group, without one task ever holding a group.
 
-    A group is spread over `buckets` by the hash of the `by` columns (which should identify the row), ranked there, and
-    shifted by the number of rows in its earlier buckets; the table of counts has at most groups x buckets rows.
+    `rows` is the number of rows, where the caller has counted them: a group is spread over rows / BUCKET_ROWS buckets by the hash of the `by` columns
+    (which should identify the row), ranked there, and shifted by the number of rows in its earlier buckets, so parallelism
+    grows with the data; the table of counts has a row for each group and each of its buckets that holds any.
     The order is by bucket, then by `by`: fixed for given rows, but not the order of `by` itself.
     Null keys form a group. Rows equal in all `by` columns share a bucket and get different ranks.
     """
     b, n, shift = "__bucket", "__n", "__shift"
+    buckets = max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
     spread = df.withColumn(b, F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
     counts = spread.groupBy(key, b).agg(F.count("*").alias(n))
     before = W.partitionBy(key).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
@@ -37,3 +43,19 @@ def earliest(df: DataFrame, key: str, at: str, *columns: str) -> DataFrame:
     row = F.struct(F.col(at).isNull().alias("_late"), F.col(at).alias("_at"), *columns)
     best = df.groupBy(key).agg(F.min(row).alias("_row"))
     return best.select(key, F.col("_row._at").alias(at), *[F.col(f"_row.{c}").alias(c) for c in columns])
+
+
+def earliest_text(df: DataFrame, key: str, at: str, *columns: str) -> DataFrame:
+    """What earliest() gives, for tables with long columns: no long column is shuffled but those of repeated keys.
+
+    Keys delivered more than once are counted from the key column alone. Rows of other keys pass as they are, those of
+    repeated keys go through earliest(). The repeated keys are broadcast up to BROADCAST_KEYS of them (counted first), beyond
+    that they are joined by a shuffle.
+    """
+    wide = df.select(key, at, *columns)
+    again = df.groupBy(key).agg(F.count("*").alias("__n")).filter("__n > 1").select(F.col(key).alias("__k"))
+    if again.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        again = F.broadcast(again)
+    same = F.col(key).eqNullSafe(F.col("__k"))
+    once = wide.join(again, same, "left_anti")
+    return once.unionByName(earliest(wide.join(again, same, "left_semi"), key, at, *columns))

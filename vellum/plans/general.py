@@ -38,32 +38,34 @@ def direct_orphans(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def cascaded(spark: SparkSession, d: str) -> DataFrame:
+    """(table_name, row_key, field_name, period, reason, depth): every orphaned row, direct (depth 0) or inherited, by the
+    fixpoint down the foreign keys whose parents refer to something themselves: those of cases. Concepts and articles don't,
+    so what refers to them is direct or sound. Each row has its own month; the field of an inherited row is the key that
+    leads up to its orphaned parent, its reason is 'inherited'."""
+    child = lambda name, key, at: earliest(table(spark, d, name), key, at, "case_id").select(F.col(key).alias("key"), F.trim("case_id").alias("ref"), F.lit("case_id").alias("field_name"), F.date_format(at, "yyyy-MM").alias("period"), F.lit("inherited").alias("reason"))
+    edges = [Edge("relations", "cases_clean", child("relations", "rel_id", "extracted_at")), Edge("trechos", "cases_clean", child("trechos", "trecho_id", "recorded_at"))]
+    return cascade(direct_orphans(spark, d), edges, keep=["field_name", "period", "reason"])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return direct_orphans(spark, d).select("table_name", "field_name", "period", "row_key")
+    """The references that are orphans themselves: depth 0 of the cascade."""
+    return cascaded(spark, d).filter("depth = 0").select("table_name", "field_name", "period", "row_key")
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    """Direct orphan references by table, field, month and reason."""
-    return direct_orphans(spark, d).groupBy("table_name", "field_name", "period", "reason").agg(F.count("*").alias("n"))
+    """Direct and inherited orphan references by table, field, month and reason."""
+    return cascaded(spark, d).groupBy("table_name", "field_name", "period", "reason").agg(F.count("*").alias("n"))
 
 
 def p4_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Direct and inherited orphans of each table, by distance: articles absent or not valid orphan their cases, those the
-    relations drawn from them. Counts of relations.case_id alone, as its SQL has it; p4_inherited goes down every key."""
-    direct = direct_orphans(spark, d).select("table_name", "row_key")
-    relations = earliest(table(spark, d, "relations"), "rel_id", "extracted_at", "case_id")
-    edges = [Edge("relations", "cases_clean", relations.select(F.col("rel_id").alias("key"), F.trim("case_id").alias("ref")))]
-    return cascade(direct, edges).groupBy("table_name", "depth").agg(F.count("*").alias("n_rows"))
+    """Rows that are orphans of each table, by distance from the nearest direct orphan."""
+    return cascaded(spark, d).select("table_name", "row_key", "depth").distinct().groupBy("table_name", "depth").agg(F.count("*").alias("n_rows"))
 
 
 def p4_inherited(spark: SparkSession, d: str) -> DataFrame:
-    """Every orphaned row, direct (depth 0) or inherited, with its table, its own month and its distance. The keys are those
-    whose parents refer to something themselves: concepts and articles don't, so what refers to them is direct or sound."""
-    relations = earliest(table(spark, d, "relations"), "rel_id", "extracted_at", "case_id")
-    trechos = earliest(table(spark, d, "trechos"), "trecho_id", "recorded_at", "case_id")
-    child = lambda rows, key, at: rows.select(F.col(key).alias("key"), F.trim("case_id").alias("ref"), F.date_format(at, "yyyy-MM").alias("period"))
-    edges = [Edge("relations", "cases_clean", child(relations, "rel_id", "extracted_at")), Edge("trechos", "cases_clean", child(trechos, "trecho_id", "recorded_at"))]
-    return cascade(direct_orphans(spark, d), edges, keep=["period"]).select("table_name", "period", "row_key", "depth")
+    """Every orphaned row, direct (depth 0) or inherited, with its table, its own month and its distance."""
+    return cascaded(spark, d).select("table_name", "period", "row_key", "depth").distinct()
 
 
 ORPHANS_SQL = """
@@ -84,19 +86,17 @@ WITH art AS (SELECT upper(trim(article_id)) k, arg_min(loaded_at, loaded_at) s,
                  ELSE 'taken back' END reason
         FROM refs r WHERE k <> '' AND NOT EXISTS (SELECT 1 FROM parents p WHERE p.k = r.k AND (p.kind = 'a') = (field_name = 'article_id') AND s <= t AND e > t))
 """
+CASCADE_SQL = ORPHANS_SQL + """, tre AS (SELECT trecho_id, min_by(coalesce(case_id, ''), recorded_at) case_id, min(recorded_at) t FROM trechos GROUP BY trecho_id),
+    kids AS (SELECT 'relations' table_name, strftime(t, '%Y-%m') period, rel_id::varchar row_key, trim(case_id) ref FROM rel
+        UNION ALL SELECT 'trechos', strftime(t, '%Y-%m'), trecho_id::varchar, trim(case_id) FROM tre),
+    heirs AS (SELECT table_name, 'case_id' field_name, period, row_key, 'inherited' reason FROM kids k WHERE ref IN (SELECT row_key FROM direct WHERE table_name = 'cases_clean')
+        AND NOT EXISTS (SELECT 1 FROM direct t WHERE t.table_name = k.table_name AND t.row_key = k.row_key)),
+    every AS (SELECT *, 0 depth FROM direct UNION ALL SELECT *, 1 FROM heirs)
+"""
 SQL = {
     "p4_found": ORPHANS_SQL + "SELECT table_name, field_name, period, row_key FROM direct",
-    "p4_report": ORPHANS_SQL + "SELECT table_name, field_name, period, reason, count(*) n FROM direct GROUP BY ALL",
-    "p4_cascade": ORPHANS_SQL + """, down AS (SELECT DISTINCT 'relations' table_name, rel_id::varchar row_key FROM rel WHERE case_id IN (SELECT row_key FROM direct WHERE table_name = 'cases_clean')),
-        top AS (SELECT DISTINCT table_name, row_key FROM direct)
-        SELECT table_name, 0 depth, count(*) n_rows FROM top GROUP BY ALL
-        UNION ALL SELECT table_name, 1, count(*) FROM (SELECT * FROM down EXCEPT SELECT * FROM top) GROUP BY ALL""",
-    "p4_inherited": ORPHANS_SQL + """, tre AS (SELECT trecho_id, min_by(coalesce(case_id, ''), recorded_at) case_id, min(recorded_at) t FROM trechos GROUP BY trecho_id),
-        kids AS (SELECT 'relations' table_name, strftime(t, '%Y-%m') period, rel_id::varchar row_key, trim(case_id) ref FROM rel
-            UNION ALL SELECT 'trechos', strftime(t, '%Y-%m'), trecho_id::varchar, trim(case_id) FROM tre),
-        top AS (SELECT DISTINCT table_name, period, row_key FROM direct)
-        SELECT table_name, period, row_key, 0 depth FROM top
-        UNION ALL SELECT table_name, period, row_key, 1 FROM kids k WHERE ref IN (SELECT row_key FROM direct WHERE table_name = 'cases_clean')
-            AND NOT EXISTS (SELECT 1 FROM top t WHERE t.table_name = k.table_name AND t.row_key = k.row_key)""",
+    "p4_report": CASCADE_SQL + "SELECT table_name, field_name, period, reason, count(*) n FROM every GROUP BY ALL",
+    "p4_cascade": CASCADE_SQL + "SELECT table_name, depth, count(DISTINCT row_key) n_rows FROM every GROUP BY ALL",
+    "p4_inherited": CASCADE_SQL + "SELECT DISTINCT table_name, period, row_key, depth FROM every",
 }
 QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p4_found, p4_report, p4_cascade, p4_inherited)}
