@@ -7,8 +7,11 @@ components then fill the splits so that the totals come as close to the asked sh
 
 from __future__ import annotations
 
+import itertools
+import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,17 +19,16 @@ from ..operators.rank import group_rank
 from ..session import cut
 
 
-def numbered(edges: DataFrame, salts: int = 5) -> DataFrame:
+def numbered(edges: DataFrame) -> DataFrame:
     """Distinct edges (u, v: string) as a written table (u, v: bigint, us, vs) by a 64-bit hash that is proven free of
-    collisions on these nodes; another salt is tried if two nodes collide. Numbers in random order keep the trees of the
-    hooking shallow."""
-    for salt in range(salts):
+    collisions on these nodes; another salt is tried for as long as two nodes collide (with 1e9 nodes once in 40 times).
+    Numbers in random order keep the trees of the hooking shallow."""
+    for salt in itertools.count():
         h = lambda c: F.xxhash64(F.lit(salt), F.col(c))  # noqa: E731, B023
         out = cut(edges.distinct().select(h("u").alias("u"), h("v").alias("v"), F.col("u").alias("us"), F.col("v").alias("vs")))
         nodes = out.select("u", "us").unionByName(out.select(F.col("v").alias("u"), F.col("vs").alias("us")))
         if nodes.groupBy("u").agg((F.min("us") != F.max("us")).alias("bad")).filter("bad").isEmpty():
             return out
-    raise ValueError("node hashes collide under every salt")
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
@@ -96,118 +98,93 @@ class Quota:
     parts: list[int]
 
 
-def reachable(sizes: list[tuple[int, int]], most: int) -> list[int]:
-    """Bitsets of the sums up to `most` after each (size, count), counts taken in binary chunks: bit s of the last is set if
-    some of the components sum to s."""
-    mask, steps = (1 << (most + 1)) - 1, [1]
-    for size, count in sizes:
-        bits, chunk = steps[-1], 1
+class Sums:
+    """A set of sums from 0 to `most`, as sorted, disjoint, closed intervals (lo, hi): a bitset by runs of set bits. With small
+    components in number nearly all sums can be reached and the set is a few runs, however many records there are; with few
+    components it is few sums. So the sums are exact at every size of table."""
+
+    def __init__(self, most: int, lo: np.ndarray | None = None, hi: np.ndarray | None = None):
+        self.most = most
+        self.lo = np.zeros(1, np.int64) if lo is None else lo
+        self.hi = np.zeros(1, np.int64) if hi is None else hi
+
+    def _joined(self, lo: np.ndarray, hi: np.ndarray) -> Sums:
+        keep = lo <= self.most
+        lo, hi = lo[keep], np.minimum(hi[keep], self.most)
+        order = np.argsort(lo, kind="stable")
+        lo, hi = lo[order], np.maximum.accumulate(hi[order])
+        first = np.concatenate([[True], lo[1:] > hi[:-1] + 1])
+        last = np.append(np.flatnonzero(first)[1:] - 1, len(lo) - 1)
+        return Sums(self.most, lo[first], hi[last])
+
+    def plus(self, size: int, count: int) -> Sums:
+        """The sums with 0 to `count` components of `size` added, in binary chunks. A run at least as wide as `size` takes all
+        of them at once."""
+        out, chunk = self, 1
+        count = min(count, self.most // size) if size else 0
         while count > 0:
+            if (out.hi - out.lo + 1 >= size).all():
+                return self._joined(out.lo, out.hi + size * count)
             take = min(chunk, count)
-            bits |= (bits << (size * take)) & mask
-            count -= take
-            chunk *= 2
-        steps.append(bits)
-    return steps
-
-
-def nearest(bits: int, target: int) -> int:
-    """The set bit nearest to target (the lower of two)."""
-    below = (bits & ((1 << (target + 1)) - 1)).bit_length() - 1
-    above = bits >> (target + 1)
-    if above:
-        up = target + 1 + (above & -above).bit_length() - 1
-        if below < 0 or up - target < target - below:
-            return up
-    return max(below, 0)
+            out = self._joined(np.concatenate([out.lo, out.lo + size * take]), np.concatenate([out.hi, out.hi + size * take]))
+            count, chunk = count - take, chunk * 2
+        return out
+
+    def nearest(self, target: int) -> int:
+        """The sum nearest to target (the lower of two)."""
+        k = int(np.searchsorted(self.lo, target, "right")) - 1
+        below = min(int(self.hi[k]), target)
+        if below == target or k + 1 == len(self.lo):
+            return below
+        above = int(self.lo[k + 1])
+        return above if above - target < target - below else below
+
+    def taken(self, value: int, size: int, count: int, wish: int) -> int:
+        """How many components of `size`, at most `count` and as near to `wish` as can be, lead from a sum of this set to value."""
+        low, high = np.maximum(-((self.hi - value) // size), 0), np.minimum((value - self.lo) // size, count)
+        ok = low <= high
+        n = np.clip(wish, low[ok], high[ok])
+        return int(n[np.abs(n - wish).argmin()])
 
 
 def choose(sizes: list[tuple[int, int]], target: int) -> dict[int, int]:
-    """How many components of each size sum as near to target as any choice can: bitsets forwards, choice backwards."""
-    steps = reachable(sizes, min(sum(s * c for s, c in sizes), 2 * target + 1))
-    left, out = nearest(steps[-1], target), {}
-    for k in range(len(sizes) - 1, -1, -1):
-        size, count = sizes[k]
-        n = 0
-        while not (steps[k] >> left) & 1:
-            left, n = left - size, n + 1
-            assert n <= count and left >= 0
-        out[size] = n
+    """How many components of each (size, count) sum as near to target as any choice can: reachable sums forwards from the
+    smallest size, choice backwards; of the choices, one near each size's even share."""
+    total = sum(s * c for s, c in sizes)
+    unit = math.gcd(*(s for s, c in sizes if c)) if total else 1
+    # no sum between the target and its mirror image can be farther off than 0 is
+    most = min(total, 2 * target + 1) // unit
+    ordered = sorted((s // unit, c) for s, c in sizes if c)
+    steps = [Sums(most)]
+    for s, c in ordered:
+        steps.append(steps[-1].plus(s, c))
+    left, out = _unit_nearest(steps[-1], target, unit), {s: 0 for s, _ in sizes}
+    for k in range(len(ordered) - 1, -1, -1):
+        s, c = ordered[k]
+        n = steps[k].taken(left, s, c, round(c * target / max(total, 1)))
+        out[s * unit], left = n, left - n * s
     return out
 
 
-def repaired(left: dict[int, int], took: dict[int, int], target: int, most: int) -> dict[int, int]:
-    """took (size: count, out of left) brought nearer to target records by true sizes.
+def _unit_nearest(sums: Sums, target: int, unit: int) -> int:
+    """The sum, in units, that is nearest to a target in records."""
+    a, b = sums.nearest(target // unit), sums.nearest(-(-target // unit))
+    return min((a, b), key=lambda x: (abs(x * unit - target), x))
 
-    Components are added or taken back, the largest first, until the gap is less than any that could still be moved that
-    way; one more then crosses the target, and the other way is tried. If all components of the smallest size together are
-    as large as the largest component, the gap ends under one of them. Last, a pool of small ones, on either side, of at
-    most `most` records is dealt anew by exact subset sums, which can't end farther off, as the pool's own part is a sum.
-    """
-    took = {s: took.get(s, 0) for s in left}
-    gap = target - sum(s * n for s, n in took.items())
-    best, way, now = (abs(gap), gap, dict(took)), 1 if gap > 0 else -1, took
-    for _ in range(4):
-        free = lambda s: left[s] - now[s] if way > 0 else now[s]  # noqa: E731, B023
-        for s in sorted(left, reverse=True):
-            n = min(free(s), max(0, way * gap) // s)
-            now[s], gap = now[s] + way * n, gap - way * n * s
-        best = min(best, (abs(gap), gap, dict(now)), key=lambda x: x[0])
-        if more := min((s for s in left if gap and free(s)), default=0):
-            now[more], gap = now[more] + way, gap - way * more
-            best = min(best, (abs(gap), gap, dict(now)), key=lambda x: x[0])
-        way = -way
-    _, gap, took = best
-    pool, own, room = {}, 0, most
-    for s in sorted(left):
-        give, n = min(took[s], 64, room // (2 * s)), min(left[s] - took[s], 64, room // (2 * s))
-        if give + n:
-            pool[s], own, room = (give, give + n), own + give * s, room - (give + n) * s
-    if gap and pool:
-        for s, n in choose([(s, c) for s, (_, c) in sorted(pool.items(), reverse=True)], max(0, own + gap)).items():
-            took[s] += n - pool[s][0]
-    return took
-
-
-def quotas(sizes: list[tuple[int, int]], shares: list[float], exact: int = 1 << 22) -> list[Quota]:
-    """Splits components (size, count) by shares, the smallest splits first, the last (largest) getting what remains.
-
-    Subset sums are exact up to `exact` records. With more, sizes are counted in units of total/exact records: components of
-    a unit or more enter the bitsets rounded, and those under a unit, which are finer than the rounding, then fill each
-    split up to its target. repaired() settles by true sizes what the rounding missed: with enough components of the
-    smallest size left, totals miss by less than one of them.
-    """
+
+def quotas(sizes: list[tuple[int, int]], shares: list[float]) -> list[Quota]:
+    """Splits components (size, count) by shares, the smallest splits first, the last (largest) getting what remains. Each
+    total is as near to its share as whole components allow, given the splits before it."""
     total = sum(s * c for s, c in sizes)
     left = dict(sizes)
     parts = {s: [0] * len(shares) for s in left}
-    unit = -(-total // exact) if total else 1
-    for k in sorted(range(len(shares)), key=lambda k: (shares[k], k))[:-1]:
-        target = round(total * shares[k] / sum(shares))
-        if unit == 1:
-            took = choose([(s, c) for s, c in sorted(left.items(), reverse=True) if c], target)
-        else:
-            big = [(s, c) for s, c in sorted(left.items(), reverse=True) if c and s >= unit]
-            rounded: dict[int, int] = {}
-            for s, c in big:
-                rounded[round(s / unit)] = rounded.get(round(s / unit), 0) + c
-            small_total = sum(s * c for s, c in left.items() if s < unit)
-            goal = max(0, target - int(small_total * shares[k] / sum(shares)))
-            took, picked = {}, choose(sorted(rounded.items(), reverse=True), goal // unit)
-            for s, c in big:
-                n = min(c, picked[round(s / unit)])
-                picked[round(s / unit)] -= n
-                took[s] = n
-            gap = target - sum(s * n for s, n in took.items())
-            for s in sorted((s for s in left if s < unit), reverse=True):
-                n = max(0, min(left[s], gap // s))
-                took[s], gap = n, gap - n * s
-            took = repaired(left, took, target, exact >> 4)
-        for s, n in took.items():
+    order = sorted(range(len(shares)), key=lambda k: (shares[k], k))
+    for k in order[:-1]:
+        for s, n in choose(sorted(left.items()), round(total * shares[k] / sum(shares))).items():
             parts[s][k] += n
             left[s] -= n
-    last = max(range(len(shares)), key=lambda k: (shares[k], k))
     for s, c in left.items():
-        parts[s][last] += c
+        parts[s][order[-1]] += c
     return [Quota(s, p) for s, p in sorted(parts.items())]
 
 
@@ -223,5 +200,5 @@ def assign(grouped: DataFrame, names: list[str], shares: list[float]) -> DataFra
     spark = grouped.sparkSession
     rows = [(q.size, names[k], sum(q.parts[:k]), sum(q.parts[: k + 1])) for q in plan for k in range(len(names)) if q.parts[k]]
     cuts = spark.createDataFrame(rows, "size bigint, split string, lo bigint, hi bigint")
-    placed = group_rank(size, "size", ["group"]).join(cuts, "size").filter("rank >= lo and rank < hi").select("group", "split")
+    placed = group_rank(size, "size", ["group"], rows=sum(n for _, n in counts)).join(cuts, "size").filter("rank >= lo and rank < hi").select("group", "split")
     return grouped.join(placed, "group").select("group", "record", "split")
