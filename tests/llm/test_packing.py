@@ -66,3 +66,29 @@ def test_one_size_for_all(spark):
     df = spark.range(3000).select(F.col("id"), F.lit(100).alias("s"))
     f = packing.fill(packing.pack(df, "id", F.col("s"), 1000), 1000).first()
     assert f["containers"] == 300 and f["fill"] == 1.0 and f["overfull"] == 0
+
+
+def best_fit(sizes, capacity):
+    """Containers that best fit in falling order needs, item by item."""
+    free = []
+    for s in sorted(sizes, reverse=True):
+        k = min((k for k, f in enumerate(free) if f >= s), key=lambda k: free[k], default=None)
+        if k is None:
+            free.append(capacity - s)
+        else:
+            free[k] -= s
+    return len(free)
+
+
+def test_patterns_pay(monkeypatch):
+    """With the fitted patterns no more containers than best fit alone, and fewer on sizes where best fit goes wrong."""
+    rng = np.random.default_rng(2)
+    for _ in range(5):
+        sizes = np.minimum(rng.lognormal(6.2, 0.8, 2500).astype(int) + 1, 2048).tolist()
+        h = {int(s): int(n) for s, n in zip(*np.unique(sizes, return_counts=True))}
+        assert packing.plan(h, 2048).containers <= best_fit(sizes, 2048)
+    hard = {520: 60, 510: 60, 500: 60, 270: 120, 254: 240}
+    with_patterns = packing.plan(hard, 1024).containers
+    monkeypatch.setattr(packing, "nnls", lambda a, b: np.zeros(a.shape[1]))
+    assert with_patterns <= packing.plan(hard, 1024).containers
+    assert with_patterns <= best_fit([s for s, n in hard.items() for _ in range(n)], 1024)

@@ -1,13 +1,14 @@
 """Filling containers of fixed capacity with items: histogram packing by non-negative least squares.
 
 The plan is made from the histogram of sizes alone (at most `capacity` rows, whatever the number of items): few-item length
-patterns that fill a container are fitted to the histogram, rounded to whole repeat counts, and what is left over is packed
-by best fit into the gaps and into new containers, whole groups of equal containers at a time. Items then find their
-container by their rank among items of their size.
+patterns that fill a container are fitted to the histogram, rounded to whole repeat counts and filled with real lengths, and
+what is left over is packed by best fit into the gaps and into new containers, whole groups of equal containers at a time.
+Items then find their container by their rank among items of their size.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,8 @@ from ..session import cut
 
 #: Lengths are taken in this many classes when patterns are enumerated.
 CLASSES = 256
+#: A container made by a pattern leaves at most so many tokens unused.
+WASTE = 2
 
 
 def byte_tokens(text: Column) -> Column:
@@ -43,16 +46,17 @@ def patterns(classes: int, most: int = 3) -> np.ndarray:
     return np.array(out, int)
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """x >= 0 that minimises |a x - b|: active sets after Lawson and Hanson, ended at `rounds` changes."""
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x >= 0 that minimises |a x - b|: active sets after Lawson and Hanson. Each step lowers the residual, so no active set
+    comes twice and it ends at the optimum; it also ends where a step lowers the residual by rounding errors only."""
     x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    scale = 1e-9 * (np.abs(b).max(initial=0) + 1)
-    for _ in range(rounds):
+    scale, last = 1e-9 * (np.abs(b).max(initial=0) + 1), np.inf
+    while True:
         w = a.T @ (b - a @ x)
         w[free] = -np.inf
         j = int(w.argmax())
         if not w[j] > scale:
-            break
+            return x
         free[j] = True
         while True:
             idx = np.flatnonzero(free)
@@ -68,7 +72,10 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
             free[drop], x[drop] = False, 0.0
         x[:] = 0.0
         x[idx] = s
-    return x
+        now = float(np.linalg.norm(b - a @ x))
+        if not now < last * (1 - 1e-12):
+            return x
+        last = now
 
 
 @dataclass
@@ -86,9 +93,24 @@ class Plan:
 
 
 
-def plan(histogram: dict[int, int], capacity: int, classes: int = CLASSES) -> Plan:
+def heads(groups: list[list[int]], chosen: tuple[int, ...] = ()) -> Iterator[tuple[int, ...]]:
+    """Every way to take one size of each group (largest first), equal groups in falling order."""
+    if not groups:
+        yield chosen
+        return
+    for k in groups[0]:
+        if not chosen or k <= chosen[-1]:
+            yield from heads(groups[1:], (*chosen, k))
+
+
+def plan(histogram: dict[int, int], capacity: int, classes: int = CLASSES, waste: int = WASTE) -> Plan:
     """The packing of histogram[size] items of each size from 1 to capacity. Its length is bounded by the numbers of sizes,
-    classes and patterns, not by the number of items."""
+    classes and patterns, not by the number of items.
+
+    Patterns are fitted to the histogram of classes. A pattern's containers are then filled with real lengths: all items but
+    the smallest from their classes, the last one the longest that still fits. Containers that would leave more than `waste`
+    tokens unused aren't made; their items are packed with what the rounding left over.
+    """
     sizes = np.array(sorted(histogram), np.int64)
     counts = np.array([histogram[s] for s in sizes], np.int64)
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
@@ -96,46 +118,45 @@ def plan(histogram: dict[int, int], capacity: int, classes: int = CLASSES) -> Pl
     classes = capacity // step
     cls = np.minimum(-(-sizes // step), classes + 1)  # sizes beyond the last whole class are packed as leftovers
     have = np.bincount(cls, counts, classes + 2).astype(np.int64)[: classes + 1]
-    first = {c: int(offsets[np.searchsorted(cls, c)]) for c in np.unique(cls)}
-    taken = np.zeros(classes + 1, np.int64)
+    of_class = {int(c): np.flatnonzero(cls == c)[::-1].tolist() for c in np.unique(cls)}
+    taken = np.zeros(len(sizes), np.int64)
     pats = patterns(classes)
     pats = pats[((have[pats] > 0) | (pats == 0)).all(1)]
-    segments, groups, n = [], [], 0  # segments (start, base, each, items); groups (free, base, containers)
-    size_at = lambda pos: sizes[np.searchsorted(offsets, pos, "right") - 1]
+    segments, n = [], 0  # segments (start, base, each, items)
+    open_by: dict[int, list[tuple[int, int]]] = {}  # free tokens: (base, containers)
     if len(pats):
         a = np.zeros((classes + 1, len(pats)))
         for k in range(3):
             np.add.at(a, (pats[:, k], np.arange(len(pats))), (pats[:, k] > 0).astype(float))
-        fitted = nnls(a[1:], have[1:].astype(float))
-        for p in np.argsort(-fitted):
-            need: dict[int, int] = {}
-            for c in pats[p]:
-                if c:
-                    need[int(c)] = need.get(int(c), 0) + 1
-            r = int(min([round(fitted[p]), *((have[c] - taken[c]) // m for c, m in need.items())]))
-            if r <= 0:
-                continue
-            edges, runs = {0, r}, []
-            for c, m in need.items():
-                for i in range(m):  # the i-th item of this class: positions at, at+1, ... in the r containers
-                    at = int(first[c] + taken[c] + i * r)
-                    segments.append((at, n, 1, r))
-                    runs.append(at)
-                    inside = offsets[(offsets > at) & (offsets < at + r)] - at
-                    edges.update(int(v) for v in inside)
-                taken[c] += m * r
-            cuts = sorted(edges)
-            groups += [(int(capacity - sum(size_at(at + lo) for at in runs)), n + lo, hi - lo) for lo, hi in zip(cuts, cuts[1:])]
-            n += r
+        fitted = np.rint(nnls(a[1:], have[1:].astype(float))).astype(np.int64)
+        for p in np.argsort(-fitted, kind="stable"):
+            left = int(fitted[p])
+            if left <= 0:
+                break
+            for chosen in heads([of_class[int(c)] for c in pats[p] if c][:-1]):
+                rest = capacity - int(sizes[list(chosen)].sum())
+                last = int(np.searchsorted(sizes, rest, "right")) - 1
+                while left > 0 and last >= 0 and rest - sizes[last] <= waste:
+                    use = Counter((*chosen, last))
+                    m = min(left, *(int(counts[k] - taken[k]) // u for k, u in use.items()))
+                    if m <= 0:
+                        if all(counts[k] - taken[k] >= u for k, u in Counter(chosen).items()):
+                            last -= 1  # this length is used up, try the next shorter one
+                            continue
+                        break
+                    for k, u in use.items():
+                        for _ in range(u):
+                            segments.append((int(offsets[k] + taken[k]), n, 1, m))
+                            taken[k] += m
+                    if rest > sizes[last]:
+                        open_by.setdefault(int(rest - sizes[last]), []).append((n, m))
+                    left, n = left - m, n + m
+                if left <= 0:
+                    break
     # leftovers, largest first, each into the fullest container that takes it
-    open_by: dict[int, list[tuple[int, int]]] = {}
-    for free, base, count in groups:
-        if free:
-            open_by.setdefault(free, []).append((base, count))
     for i in range(len(sizes) - 1, -1, -1):
-        size, c = int(sizes[i]), int(cls[i])
-        lo = int(max(offsets[i], first[c] + taken[c])) if c <= classes else int(offsets[i])
-        left = max(int(offsets[i + 1]) - lo, 0)
+        size, lo = int(sizes[i]), int(offsets[i] + taken[i])
+        left = int(offsets[i + 1]) - lo
         for free in sorted(f for f in open_by if f >= size):
             per = free // size
             while left and open_by.get(free):
@@ -173,11 +194,13 @@ def pack(items: DataFrame, key: str, size: Column, capacity: int) -> DataFrame:
     sized = cut(items.select(F.col(key).alias("key"), size.cast("bigint").alias("size")).filter("size > 0").withColumn("row", F.monotonically_increasing_id()))
     full = F.floor((F.col("size") - 1) / capacity).cast("bigint")
     sized = sized.withColumn("full", full).withColumn("rest", F.col("size") - F.col("full") * capacity)
-    histogram = {r["rest"]: r["n"] for r in sized.groupBy("rest").agg(F.count("*").alias("n")).collect()}
+    counted = sized.groupBy("rest").agg(F.count("*").alias("n"), F.sum("full").alias("full")).collect()  # at most `capacity` rows
+    histogram, pieces = {r["rest"]: r["n"] for r in counted}, sum(r["full"] for r in counted)
     if not histogram:
         return sized.select(F.col("key").alias(key), F.lit(0).cast("int").alias("piece"), F.lit(0).cast("bigint").alias("offset"), F.col("size").alias("tokens"), F.lit(0).cast("bigint").alias("container"))
     p = plan(histogram, capacity)
-    ranked = group_rank(sized, "rest", ["row"])
+    rows = sum(histogram.values())
+    ranked = group_rank(sized, "rest", ["row"], rows=rows)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -191,7 +214,7 @@ def pack(items: DataFrame, key: str, size: Column, capacity: int) -> DataFrame:
     one = placed.select("key", F.col("full").cast("int").alias("piece"), (F.col("full") * capacity).alias("offset"), F.col("rest").alias("tokens"), "container")
     # the full pieces of oversize items: numbered by rank, spread over buckets like the rest
     over = sized.filter("full > 0").select("key", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece"), F.concat_ws(":", "row", "piece").alias("at"))
-    over = group_rank(over.withColumn("all", F.lit(1)), "all", ["at"])
+    over = group_rank(over.withColumn("all", F.lit(1)), "all", ["at"], rows=pieces)
     split = over.select("key", F.col("piece").cast("int").alias("piece"), (F.col("piece") * capacity).cast("bigint").alias("offset"), F.lit(capacity).cast("bigint").alias("tokens"), (F.col("rank") + p.containers).cast("bigint").alias("container"))
     return one.unionByName(split).withColumnRenamed("key", key)
 
