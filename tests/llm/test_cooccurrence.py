@@ -80,6 +80,35 @@ def test_tail_against_convolution():
 
 
 def test_size_class(spark):
-    got = spark.createDataFrame([(v,) for v in (1, 999, 1000, 1001, 10**12)], "n bigint").select(co.size_class(F.col("n")).alias("c")).collect()
+    got = spark.createDataFrame([(v,) for v in (1, 63, 64, 65, 10**12)], "n bigint").select(co.size_class(F.col("n")).alias("c")).collect()
     c = [r["c"] for r in got]
-    assert c[:3] == [1, 999, 1000] and c == sorted(c) and c[-1] < 23_000
+    assert c[:3] == [1, 63, 64] and c == sorted(c) and c[-1] < 900
+
+
+def test_blocks_of_large_baskets(spark, monkeypatch):
+    monkeypatch.setattr(co, "BLOCK", 4)
+    rows = [(i, [f"w{(i * k) % 23}" for k in range(n)], 0) for i, n in enumerate([1, 2, 4, 5, 9, 17, 22, 3])]
+    want = Counter(p for _, items, _ in rows for p in itertools.combinations(sorted(set(items)), 2))
+    got = co.pair_counts(co.baskets(frame(spark, rows), "id", F.col("items")))[0].collect()
+    assert {(r["a"], r["b"]): r["n_ab"] for r in got} == want and len(got) == len(want)
+
+
+def test_size_of_baskets_explains(spark):
+    """Two rare items that meet in baskets which hold nearly everything occur together far over the product of their
+    frequencies, and the null explains it; the same count in small baskets it doesn't."""
+    small = [(i, [f"s{i}", f"t{i}"], 0) for i in range(400)]
+    giant = [(1000 + i, ["x", "y", *[f"v{k}" for k in range(300)]], 0) for i in range(6)]
+    close = [(2000 + i, ["p", "q"], 0) for i in range(6)]
+    got = {(r["a"], r["b"]): r for r in co.surprise(co.baskets(frame(spark, small + giant + close), "id", F.col("items")), 5).collect()}
+    explained, surprising = got["x", "y"], got["p", "q"]
+    assert explained["n_ab"] == surprising["n_ab"] == 6 and explained["pmi"] == surprising["pmi"] > 3
+    assert explained["log10_p"] > -3 > surprising["log10_p"]
+    assert explained["q_value"] > 0.05 >= surprising["q_value"]
+
+
+def test_width_of_classes(spark):
+    """The expectation of frequent items, which share a class, is that of their own frequencies."""
+    rng = random.Random(4)
+    rows = [(i, [w for w, k in (("a", 2), ("b", 3), ("c", 5)) if rng.random() < 1 / k / 4], 0) for i in range(4000)] + [(9000 + i, [f"z{i}"], 0) for i in range(3000)]
+    for r in co.surprise(co.baskets(frame(spark, rows), "id", F.col("items"))).filter("n_a > 64 and n_b > 64").collect():
+        assert abs(r["expected"] / (r["n_a"] * r["n_b"] / r["n"]) - 1) < 0.6

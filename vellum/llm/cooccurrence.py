@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 #: Frequencies and sizes up to EXACT are classes of their own; above, classes are this much wide (ratio), so their number
-#: grows with the logarithm of the data: 1e12 rows give fewer than 22,000.
-EXACT, WIDTH = 1000, 1.001
+#: grows with the logarithm of the data: 1e12 rows give fewer than 900, and the fit is a table of 900 x 900 at most. An item
+#: is scored with the parameter of its class scaled to its own frequency, so the width costs a second-order error only.
+EXACT, WIDTH = 64, 1.03
+#: Items of a basket meet in blocks of at most this many, so no task makes all pairs of a large basket.
+BLOCK = 1024
 
 
 def words(text: str | Column) -> Column:
@@ -44,15 +47,22 @@ def pair_counts(b: DataFrame, min_count: int = 1) -> tuple[DataFrame, DataFrame,
     """(pairs, freq, n): exact counts (a, b, n_ab, n_a, n_b) of every pair with n_ab >= min_count and a < b, item frequencies
     (item, n) and the number of baskets.
 
-    Items rarer than min_count can't be in such a pair and are dropped from the baskets first (nothing is lost). Each item
-    of a basket meets the later ones in a generator, so no task holds the pairs of a basket, and pairs are summed before the
-    shuffle; the shuffle then carries each distinct pair once a task. Items travel as dense numbers.
+    Items rarer than min_count can't be in such a pair and are dropped from the baskets first (nothing is lost). Items travel
+    as dense numbers. A basket is cut into blocks of BLOCK items; two blocks (or one and itself) meet in a generator, so no
+    task holds the pairs of a basket, and the meetings of baskets of several blocks are spread over all tasks. Pairs are
+    summed before the shuffle, which then carries each distinct pair once a task.
     """
     n = b.count()
     freq = cut(b.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
     kept = freq.filter(F.col("n") >= min_count)
-    ids = b.select("key", F.explode("items").alias("item")).join(kept.select("item", "id"), "item").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    left = ids.filter("size(ids) > 1").select("ids", F.posexplode("ids").alias("p", "i")).select("i", F.explode(F.expr("slice(ids, p + 2, size(ids))")).alias("j"))
+    ids = b.select("key", F.explode("items").alias("item")).join(kept.select("item", "id"), "item").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter("size(ids) > 1")
+    one = ids.filter(F.size("ids") <= BLOCK).select(F.posexplode("ids").alias("p", "i"), "ids").select("i", F.expr("slice(ids, p + 2, size(ids))").alias("others"))
+    last = F.floor((F.size("ids") - 1) / BLOCK).cast("int")
+    met = ids.filter(F.size("ids") > BLOCK).select("key", "ids", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("x"))
+    met = met.select("key", "ids", "x", F.explode(F.sequence("x", "last")).alias("y"))
+    met = met.select("key", "x", "y", *[F.slice("ids", F.col(c) * BLOCK + 1, F.lit(BLOCK)).alias(f"{c}s") for c in "xy"]).repartition("key", "x", "y")
+    many = met.select("x", "y", "ys", F.posexplode("xs").alias("p", "i")).select("i", F.expr("if(x = y, slice(ys, p + 2, size(ys)), ys)").alias("others"))
+    left = one.unionByName(many).select("i", F.explode("others").alias("j"))
     counts = left.groupBy("i", "j").agg(F.count("*").alias("n_ab")).filter(F.col("n_ab") >= min_count)
     one, two = (kept.select(F.col("id").alias(i), F.col("item").alias(w), F.col("n").alias(m)) for i, w, m in (("i", "wa", "na"), ("j", "wb", "nb")))
     named = counts.join(one, "i").join(two, "j")
@@ -124,16 +134,21 @@ def tail(q: np.ndarray, n: np.ndarray, c: np.ndarray) -> np.ndarray:
 def surprise(b: DataFrame, min_count: int = 1) -> DataFrame:
     """(a, b, n_ab, n_a, n_b, n, pmi, llr, expected, log10_p, q_value) of every pair with n_ab >= min_count.
 
-    pmi = log2(n_ab n / (n_a n_b)); llr is Dunning's. The p-value depends on the classes of both items and on the count
-    alone, so it is computed once for each distinct triple, in Arrow batches. q_value is Benjamini-Hochberg over all
+    pmi = log2(n_ab n / (n_a n_b)); llr is Dunning's. The p-value depends on the classes of both items, on how their
+    frequencies stand to the means of their classes (rounded to 0.1 %) and on the count, so it is computed once for each
+    distinct combination, in Arrow batches. q_value is Benjamini-Hochberg over all
     V (V - 1) / 2 pairs of the vocabulary; pairs under min_count aren't tested and rank behind, which can only raise q.
     Ranks come from the table of distinct p-values (rounded to 6 digits of log10), not from one sorted partition.
     Empty input gives no rows; one basket or one item gives no pairs or p-values near 1.
     """
     b = cut(b)
     pairs, freq, n = pair_counts(b, min_count)
-    pairs = cut(pairs.withColumn("ca", size_class(F.least("n_a", "n_b"))).withColumn("cb", size_class(F.greatest("n_a", "n_b"))))
     items, sizes = classes(freq, "n"), classes(b.select(F.size("items").alias("s")), "s")
+    means = F.broadcast(freq.sparkSession.createDataFrame([(int(c), float(m)) for c, m in zip(items["cls"], items["mean"])], "cls int, mean double"))  # a row a class
+    own = lambda c, f: means.select(F.col("cls").alias(c), F.col("mean").alias(f))
+    pairs = pairs.withColumn("ca", size_class(F.least("n_a", "n_b"))).withColumn("cb", size_class(F.greatest("n_a", "n_b"))).join(own("ca", "ma"), "ca").join(own("cb", "mb"), "cb")
+    # x_i is proportional to the frequency where probabilities are small: the product of both corrections scales the pair
+    pairs = cut(pairs.withColumn("lift", F.round(F.col("n_a") * F.col("n_b") / (F.col("ma") * F.col("mb")), 3)).drop("ma", "mb"))
     vocabulary = int(items["count"].sum())
     x, y = fit(items, sizes)
     ns, code = np.asarray(sizes["count"], float), np.asarray(items["cls"])
@@ -145,16 +160,16 @@ def surprise(b: DataFrame, min_count: int = 1) -> DataFrame:
                 part = pdf.iloc[at : at + 4096].copy()
                 xa, xb = (x[np.searchsorted(code, part[c].to_numpy())] for c in ("ca", "cb"))
                 oa, ob = np.outer(xa, y), np.outer(xb, y)
-                q = oa / (1 + oa) * ob / (1 + ob)
+                q = np.minimum(oa / (1 + oa) * ob / (1 + ob) * part["lift"].to_numpy()[:, None], 1.0)
                 part["expected"], part["log10_p"] = q @ ns, tail(q, ns, part["n_ab"].to_numpy()).round(6)
                 yield part
 
-    triples = pairs.groupBy("ca", "cb", "n_ab").agg(F.count("*").alias("m"))
-    scored = cut(triples.mapInPandas(score, "ca int, cb int, n_ab bigint, m bigint, expected double, log10_p double"))
+    triples = pairs.groupBy("ca", "cb", "lift", "n_ab").agg(F.count("*").alias("m"))
+    scored = cut(triples.mapInPandas(score, "ca int, cb int, lift double, n_ab bigint, m bigint, expected double, log10_p double"))
     ranks = step_up(scored, tests)
     h = lambda *v: sum((F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / F.lit(float(max(n, 1))))).otherwise(0.0) for c in v), F.lit(0.0))
     cells = {"k11": F.col("n_ab"), "k12": F.col("n_a") - F.col("n_ab"), "k21": F.col("n_b") - F.col("n_ab"), "k22": n - F.col("n_a") - F.col("n_b") + F.col("n_ab"), "na_": n - F.col("n_a"), "nb_": n - F.col("n_b")}
-    out = pairs.join(scored.drop("m"), ["ca", "cb", "n_ab"]).join(ranks, "log10_p").withColumns(cells)
+    out = pairs.join(scored.drop("m"), ["ca", "cb", "lift", "n_ab"]).join(ranks, "log10_p").withColumns(cells)
     llr = 2 * (h("k11", "k12", "k21", "k22") - h("n_a", "na_") - h("n_b", "nb_"))
     pmi = F.log2(F.col("n_ab") * F.lit(float(n)) / (F.col("n_a") * F.col("n_b")))
     return out.select("a", "b", "n_ab", "n_a", "n_b", F.lit(n).cast("bigint").alias("n"), pmi.alias("pmi"), llr.alias("llr"), "expected", "log10_p", "q_value")
@@ -162,9 +177,9 @@ def surprise(b: DataFrame, min_count: int = 1) -> DataFrame:
 
 def step_up(scored: DataFrame, tests: float) -> DataFrame:
     """(log10_p, q_value): Benjamini-Hochberg from counts m of each distinct log10_p. Ranks are prefix sums over blocks of
-    p-values (64 blocks a unit of log10_p), then within blocks, so no task sorts all values."""
-    p = scored.groupBy("log10_p").agg(F.sum("m").alias("m")).withColumn("block", F.floor(F.greatest("log10_p", F.lit(-1e5)) * 64))
-    # one row a block: bounded by 64 blocks times the span of log10_p, whatever the data
+    p-values, then within blocks, so no task sorts all values. Blocks widen in proportion to |log10_p|."""
+    p = scored.groupBy("log10_p").agg(F.sum("m").alias("m")).withColumn("block", -F.ceil(256 * F.log1p(-F.col("log10_p"))))
+    # one row a block: 256 for each factor e of |log10_p|, so at most some 9,000 whatever the data
     blocks = p.groupBy("block").agg(F.sum("m").alias("bm"))
     before = blocks.select("block", F.coalesce(F.sum("bm").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.sum("m").over(W.partitionBy("block").orderBy("log10_p"))

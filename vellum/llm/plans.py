@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +20,10 @@ def pairs(spark: SparkSession, d: str, min_count: int) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """The pairs that occur at least 5 times and 8 times as often as chance."""
-    often = (F.col("n_ab") >= 5) & (F.col("n_ab") * F.col("n") >= 8 * F.col("n_a") * F.col("n_b"))
+    """The pairs that occur at least 5 times, more often than the null explains (5 % for a pair by itself), and then by the
+    exact check 8 times as often as by frequencies alone. The level isn't corrected for the number of pairs, as the
+    definition isn't; p1_significant has the pairs that stand after the correction."""
+    often = (F.col("log10_p") <= math.log10(0.05)) & (F.col("n_ab") * F.col("n") >= 8 * F.col("n_a") * F.col("n_b"))
     return pairs(spark, d, 5).filter(often).select(F.col("a").alias("palavra_1"), F.col("b").alias("palavra_2"))
 
 
@@ -29,9 +33,16 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("a").alias("palavra_1"), F.col("b").alias("palavra_2"), F.col("n_ab").alias("contagem"), "pmi", "llr", "expected", "log10_p", "q_value")
 
 
+def p1_significant(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of two or more trechos that occur together more often than the null explains, at a false-discovery rate of
+    5 % over all pairs of the vocabulary."""
+    p = pairs(spark, d, 2).filter("q_value <= 0.05 and n_ab > expected")
+    return p.select(F.col("a").alias("palavra_1"), F.col("b").alias("palavra_2"), F.col("n_ab").alias("contagem"), "pmi", "expected", "log10_p", "q_value")
+
+
 def p1_stale(spark: SparkSession, d: str) -> DataFrame:
-    """The counts of the pairs that are both published and still found, as its SQL has it; p1_compared has the others too."""
-    return p1_pairs(spark, d).select("palavra_1", "palavra_2", "contagem").join(published(spark, d), ["palavra_1", "palavra_2"])
+    """The published pairs with their new count, 0 where a pair stands in no trecho any more."""
+    return p1_compared(spark, d).filter("is_published").drop("is_published")
 
 
 def published(spark: SparkSession, d: str) -> DataFrame:
@@ -145,9 +156,9 @@ def p8_cutoffs(spark: SparkSession, d: str) -> DataFrame:
 SQL = {
     "p1_found": P1_SQL + "SELECT a palavra_1, b palavra_2 FROM c JOIN f x ON x.w = a JOIN f y ON y.w = b, n WHERE n_ab >= 5 AND n_ab * n.n >= 8 * x.n * y.n",
     "p1_stale": P1_SQL + """, o AS (SELECT least(x, y) a, greatest(x, y) b, max(contagem) published FROM (SELECT lower(trim(palavra_1)) x, lower(trim(palavra_2)) y, contagem FROM tabela_pmi) GROUP BY ALL)
-        SELECT a palavra_1, b palavra_2, n_ab contagem, published FROM c JOIN o USING (a, b)""",
+        SELECT o.a palavra_1, o.b palavra_2, coalesce(n_ab, 0) contagem, published FROM o LEFT JOIN c USING (a, b)""",
     "p1_compared": P1_SQL + """, o AS (SELECT least(x, y) a, greatest(x, y) b, max(contagem) published FROM (SELECT lower(trim(palavra_1)) x, lower(trim(palavra_2)) y, contagem FROM tabela_pmi) GROUP BY ALL)
         SELECT coalesce(c.a, o.a) palavra_1, coalesce(c.b, o.b) palavra_2, coalesce(n_ab, 0) contagem, published, o.a IS NOT NULL is_published FROM c FULL JOIN o ON c.a = o.a AND c.b = o.b""",
 }
 SQL |= {"p6_found": "SELECT doc_id FROM documents WHERE octet_length(encode(text)) + 1 > 8192"}
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_stale, p1_compared, p3_found, p3_documents, p5_found, p5_splits, p6_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_shares, p8_cutoffs)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_significant, p1_stale, p1_compared, p3_found, p3_documents, p5_found, p5_splits, p6_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_shares, p8_cutoffs)}
