@@ -135,10 +135,15 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").join(n, "item_id", "left").select("item_id", "suite", F.coalesce("n", F.lit(0)).alias("n_docs"))
 
 
+#: What the query means by repetition: no cutoff under it is asked for.
+LEAST_SHARE = 0.3
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents at or over the cutoff of their stratum of which at least 30 % repeats."""
-    measured, _ = repetition.judged(table(spark, d, "documents"), "doc_id", "text")
-    return measured.filter((F.col("share") >= F.col("cutoff")) & (10 * F.col("repeated") >= 3 * F.col("words")) & (F.col("words") > 0)).select("doc_id")
+    """Documents at or over the cutoff of their stratum: the least one, from a share of 30 % up, that is certified to reject
+    few good documents."""
+    measured, _ = repetition.judged(table(spark, d, "documents"), "doc_id", "text", [c for c in repetition.GRID if c >= LEAST_SHARE])
+    return measured.filter("share >= cutoff").select("doc_id")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
