@@ -66,7 +66,7 @@ def test_candidates_against_all_shingles():
     for d, t in enumerate(texts):
         h = tokens.hashed(tokens.words(t))
         s = tokens.rolling(h, lk.SHINGLE).tolist()
-        for i, at in enumerate(index.shingles):
+        for i, at in enumerate(map(index.shingles, range(len(index.keys)))):
             for b in range(0, len(s), lk.HALF):
                 if any(v in at for v in s[b : b + lk.BLOCK]) and index.holds(i, h, b, min(b + lk.BLOCK, len(s))):
                     want.add((d, i))
@@ -112,7 +112,7 @@ def test_alignment_against_edit_distance():
         at = {}
         for i, v in enumerate(tokens.rolling(index.words[0], 5).tolist()):
             at.setdefault(v, []).append(i)
-        index.shingles = [at]
+        index._shingles = {0: at}
         doc = np.array(near, np.uint64)
         got = index.holds(0, doc, 0, len(doc) - 4)
         assert got == brute(near, word, 18), (word, near)
@@ -123,3 +123,20 @@ def test_alignment_against_edit_distance():
 def test_fewest_kept_shingles():
     assert lk.fewest(18) == 6 and lk.fewest(60) == 26
     assert all(need >= 1 for _, need in lk.PARTITIONS) and lk.PARTITIONS[0][1] < lk.PARTITIONS[-1][1]
+
+
+def test_index_against_plain_minima():
+    """The tables hold every window's minimum of each item, long or short, and nothing else."""
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choice("abcdefghijklm") * 3 for _ in range(n))) for i, n in enumerate([3, 5, 9, 17, 18, 19, 40, 18])]
+    index = lk.Index(items)
+    assert index.keys == [1, 2, 3, 4, 5, 6, 7]
+    for k in (0, lk.K - 1):
+        _, _, values, first, owner = index.tables[k]
+        got = {(int(v), int(o)) for v, a, b in zip(values, first, first[1:]) for o in owner[a:b]}
+        want = set()
+        for i, w in enumerate(index.words):
+            h = lk.hash_k((lk.tokens.rolling(w, lk.SHINGLE) >> np.uint64(32)).astype(np.uint32), k)
+            wide = min(14, len(h))
+            want |= {(int(h[j : j + wide].min()), i) for j in range(len(h) - wide + 1)}
+        assert got == want

@@ -10,6 +10,7 @@ verified in the same task on the document's own words, so no text and no signatu
 from __future__ import annotations
 
 import math
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,7 +30,10 @@ BLOCK = 2 * HALF
 LEAST = 4
 MISS = 2e-3
 #: Items are sought in blocks of so many words, each in one pass over the documents: what is sent to the tasks is bounded.
-ITEM_WORDS = 2_000_000
+#: An index of so many words was measured at 100 MB and 2 s to build, once a Python worker.
+ITEM_WORDS = 500_000
+#: Items whose shingles a worker holds for verification.
+KEPT = 2000
 
 
 def functions_for(size: int) -> int:
@@ -51,43 +55,69 @@ def hash_k(h: np.ndarray, k: int) -> np.ndarray:
         return v ^ (v >> np.uint32(15))
 
 
+def least_in(v: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each run of `width` successive values, by doubling."""
+    span = 1
+    while span * 2 <= width:
+        v, span = np.minimum(v[:-span], v[span:]), span * 2
+    return np.minimum(v[: len(v) - (width - span)], v[width - span :]) if width > span else v
+
+
 class Index:
-    """Items of one block: their windows' minima by hash function, and all their words and shingles."""
+    """Items of one block: their windows' minima by hash function, and all their words.
+
+    Built in one pass over the joined items, in flat arrays: some 200 bytes a word of the items. What verification needs of
+    an item (its shingles by hash) is made when the item first becomes a candidate, for KEPT items at a time.
+    """
 
     def __init__(self, items: list[tuple]):
-        self.keys, self.words, self.least, self.shingles = [], [], [], []
-        minima: list[list[np.ndarray]] = [[] for _ in range(K)]
-        owners: list[np.ndarray] = []
+        self.keys, self.words, self.least = [], [], []
+        self._shingles: dict[int, dict] = {}
         for key, text in items:
             found = tokens.words(text or "")
-            h = tokens.hashed(found)
-            s = tokens.rolling(h, SHINGLE)
-            if not len(s):
+            if len(found) < SHINGLE:
                 continue
             single = sum(len(w) == 1 and tokens.CJK_CHAR.match(w) is not None for w in found)
-            self.least.append(60 if single * 2 > len(found) else WINDOW)
-            wide = min(WINDOW - SHINGLE + 1, len(s))
-            low = (s >> np.uint64(32)).astype(np.uint32)
-            windows = np.lib.stride_tricks.sliding_window_view
-            for k in range(K):
-                minima[k].append(windows(hash_k(low, k), wide).min(1))
-            owners.append(np.full(len(s) - wide + 1, len(self.keys), np.int32))
             self.keys.append(key)
-            self.words.append(h)
-            at = defaultdict(list)
-            for i, v in enumerate(s.tolist()):
-                at[v].append(i)
-            self.shingles.append(dict(at))
+            self.words.append(tokens.hashed(found))
+            self.least.append(60 if single * 2 > len(found) else WINDOW)
         self.tables = []
-        owner = np.concatenate(owners) if owners else np.zeros(0, np.int32)
-        for k in range(K if self.keys else 0):
-            v = np.concatenate(minima[k])
-            pairs = np.unique(np.stack([v.astype(np.int64), owner.astype(np.int64)], 1), axis=0)
-            values, first = np.unique(pairs[:, 0], return_index=True)
-            bits = max(20, min(26, int(len(values) * 64).bit_length()))
+        if not self.keys:
+            return
+        n = np.array([len(w) for w in self.words], np.int64)
+        low = (tokens.rolling(np.concatenate(self.words), SHINGLE)[tokens.inside(n, SHINGLE)] >> np.uint64(32)).astype(np.uint32)
+        own, wide = n - SHINGLE + 1, WINDOW - SHINGLE + 1
+        starts = np.cumsum(own) - own
+        sliding, short = tokens.inside(own, wide), np.flatnonzero(own < wide)
+        owner = np.concatenate([np.repeat(np.arange(len(n)), np.maximum(own - wide + 1, 0)), short]).astype(np.uint64)
+        edges = np.stack([starts[short], starts[short] + own[short]], 1).ravel()
+        for k in range(K):
+            h = hash_k(low, k)
+            part = [least_in(h, wide)[sliding]] if len(sliding) else []
+            if len(short):
+                part.append(np.minimum.reduceat(np.append(h, np.uint32(0xFFFFFFFF)), edges)[::2])
+            v = (np.concatenate(part).astype(np.uint64) << np.uint64(32)) | owner
+            pairs = np.unique(v[np.concatenate([[True], v[1:] != v[:-1]])])
+            values, first = np.unique((pairs >> np.uint64(32)).astype(np.uint32), return_index=True)
+            bits = max(16, min(28, int(len(values) * 8).bit_length()))
             maybe = np.zeros(1 << bits, bool)
-            maybe[values >> (32 - bits)] = True
-            self.tables.append((maybe, np.uint32(32 - bits), values, np.append(first, len(pairs)), pairs[:, 1]))
+            maybe[values >> np.uint32(32 - bits)] = True
+            self.tables.append((maybe, np.uint32(32 - bits), values, np.append(first, len(pairs)).astype(np.uint32), pairs.astype(np.uint32)))
+
+    def size(self) -> int:
+        """Bytes of the tables."""
+        return sum(t.nbytes for row in self.tables for t in row if isinstance(t, np.ndarray)) + sum(w.nbytes for w in self.words)
+
+    def shingles(self, item: int) -> dict[int, list[int]]:
+        """Positions of the item's shingles by hash."""
+        if item not in self._shingles:
+            if len(self._shingles) >= KEPT:
+                self._shingles.clear()
+            at = defaultdict(list)
+            for i, v in enumerate(tokens.rolling(self.words[item], SHINGLE).tolist()):
+                at[v].append(i)
+            self._shingles[item] = dict(at)
+        return self._shingles[item]
 
     def candidates(self, low: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int]]:
         """(block, item) that share a minimum; starts are those of half blocks in `low`, a block is a half and the next one
@@ -106,7 +136,7 @@ class Index:
             maybe, shift, values, first, owner = self.tables[k]
             hit = np.flatnonzero(maybe[block >> shift] & (probes > k))
             if len(hit):
-                v = block[hit].astype(np.int64)
+                v = block[hit]
                 pos = np.minimum(np.searchsorted(values, v), len(values) - 1)
                 for b, p in zip(hit[values[pos] == v].tolist(), pos[values[pos] == v].tolist()):
                     out.update((b, i) for i in owner[first[p] : first[p + 1]].tolist())
@@ -115,7 +145,7 @@ class Index:
     def holds(self, item: int, doc: np.ndarray, lo: int, hi: int) -> bool:
         """Whether the words of a document hold a passage of the item that touches the shingles from lo to hi: as many
         distinct shingles in common around them as the least passage keeps, and an alignment of enough of the item's words, one in ten altered."""
-        at, least = self.shingles[item], self.least[item]
+        at, least = self.shingles(item), self.least[item]
         margin = least + least // 10
         lo, hi = max(0, lo - margin), min(len(doc) - SHINGLE + 1, hi + margin)
         s = tokens.rolling(doc[lo : hi + SHINGLE - 1], SHINGLE).tolist()
@@ -196,13 +226,24 @@ def passes(near: list[int], word: list[int], start: tuple[int, int], end: tuple[
     return False
 
 
+#: The index of the block that a Python worker works on; its next task finds it built.
+_BUILT: dict[str, Index] = {}
+
+
+def built(name: str, items: list[tuple]) -> Index:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Index(items)
+    return _BUILT[name]
+
+
 def search(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_text: str, item_words: int = ITEM_WORDS) -> DataFrame:
     """(doc_key, item_key): every document with each item of which it holds a passage of at least 18 successive words (60
     characters if the item is mostly Chinese or Japanese), one word in ten altered.
 
     Items are the stated query set: they come to the driver in blocks of at most `item_words` words (by a running total of
     their sizes), each block is sent to the tasks and sought in one pass over all documents; more items mean more passes,
-    never a larger broadcast. Null or short items and texts match nothing, equal keys give equal rows once a row.
+    never a larger broadcast. A Python worker builds a block's index once, for all its tasks. Null or short items and texts match nothing, equal keys give equal rows once a row.
     """
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)[doc_key], dict(items.dtypes)[item_key]
@@ -211,10 +252,10 @@ def search(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def sought(block: list[tuple]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def seek(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value)
+            index = built(name, sent.value)
             for rows in tokens.groups(tokens.batches(it)):
                 found = in_texts(index, [t for _, t in rows])
                 yield pa.RecordBatch.from_pydict({doc_key: [rows[d][0] for d, _ in found], item_key: [index.keys[i] for _, i in found]}, arrow)
