@@ -1,7 +1,9 @@
 """Sentence units on hand-divided texts in nine languages, and the invariants of the division."""
 
+import os
 import random
 
+import pyarrow.parquet as pq
 import pytest
 
 from vellum.llm import sentences as sn
@@ -33,11 +35,44 @@ def cut(text):
     return whole, spans
 
 
-@pytest.mark.parametrize("text", DIVIDED)
-def test_prior_model(text):
-    whole, want = cut(text)
-    got = sn.split(whole, dict(sn.PRIOR))
-    assert [whole[a:b] for a, b in got] == [whole[a:b] for a, b in want]
+def texts():
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    found = pq.read_table(path, columns=["doc_id", "text"]).to_pylist()
+    return [r["text"] for r in sorted(found, key=lambda r: r["doc_id"]) if r["text"]]
+
+
+@pytest.fixture(scope="module")
+def weights():
+    return sn.fit(sn.labelled(*sn.evidence(texts())))
+
+
+def boundaries(weights):
+    """(found, true, both) of the boundaries of DIVIDED."""
+    n = [0, 0, 0]
+    for text in DIVIDED:
+        whole, want = cut(text)
+        a, b = {e for _, e in sn.split(whole, weights)}, {e for _, e in want}
+        n = [x + y for x, y in zip(n, (len(a), len(b), len(a & b)))]
+    return n
+
+
+def test_hand_divided(weights):
+    """Sentences divided by hand, of other words than the training texts: training finds what the prior can't know."""
+    found, true, both = boundaries(weights)
+    assert both / true >= 0.93 and both / found >= 0.93
+    found, true, untrained = boundaries(dict(sn.PRIOR))
+    assert 2 * untrained / (found + true) < 0.9
+
+
+def test_held_out_accuracy():
+    """Reliable marks that training hasn't seen are classified as they are labelled; without training far fewer are."""
+    every = texts()
+    w = sn.fit(sn.labelled(*sn.evidence(every[::2])))
+    held = [r for r in sn.labelled(*sn.evidence(every[1::2])) if r[1] + r[2]]
+    right = lambda w: sum(p if sum(w.get(x, 0.0) for x in f) > 0 else q for f, p, q, _ in held) / sum(p + q for _, p, q, _ in held)
+    assert right(w) > 0.985 > 0.9 > right(dict(sn.PRIOR))
 
 
 def test_invariants():
@@ -55,34 +90,30 @@ def test_invariants():
 
 
 def test_training_moves_the_prior():
-    rows = [(["bias", "m=.", "w=zq"], 0, 40), (["bias", "m=.", "w=*"], 60, 60)]
+    rows = [(("bias", "m=.", "w=zq"), 0, 40, 0), (("bias", "m=.", "w=*"), 60, 0, 0), (("bias", "m=.", "w=*", "n=d"), 0, 0, 9)]
     w = sn.fit(rows)
-    score = lambda f: sum(w.get(x, 0.0) for x in f)
-    assert score(rows[0][0]) < 0 < score(rows[1][0])
+    score = lambda f: sum(w.get(x, 0.0) for x in f)
+    assert score(rows[0][0]) < 0 < score(rows[1][0]) and score(rows[2][0]) > 0
     assert sn.fit([]) == sn.PRIOR
 
 
+def test_abbreviations_come_from_counts():
+    """A word that often stands before a period and never ends a paragraph is learned as an abbreviation of any language."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    known = [word() for _ in range(300)]
+    sentence = lambda: " ".join(["Zqx. " + word().title() if rng.random() < 0.5 else word().title(), *rng.choices(known, k=5)]) + "."
+    w = sn.fit(sn.labelled(*sn.evidence("\n\n".join(" ".join(sentence() for _ in range(4)) for _ in range(3)) for _ in range(60))))
+    assert [t for t in _units("Zqx. Bado came bido. Zqx. Kilo left rade.", w)] == ["Zqx. Bado came bido.", "Zqx. Kilo left rade."]
+
+
+def _units(text, w):
+    return [text[a:b] for a, b in sn.split(text, w)]
+
+
 def test_frame(spark):
     texts = [(1, "One. Two."), (2, ""), (3, None), (4, "   "), (5, "a" * 200_000 + ". B."), (1, "One. Two.")]
     df = spark.createDataFrame([(i, t, 0) for i, t in texts], "id int, text string, sent_start int")
     got = sorted(map(tuple, sn.sentences(df, "id", "text").collect()))
     assert got == [(1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9), (5, 0, 200_001), (5, 200_002, 200_004)]
     assert sn.sentences(df.limit(0), "id", "text").count() == 0
-
-
-def test_held_out_accuracy(spark):
-    """Reliable marks that training hasn't seen are classified as they are labelled."""
-    import glob
-
-    path = "/root/testdata/sf0.01/cases_clean.parquet"
-    if not glob.glob(path):
-        pytest.skip("no test data")
-    rows = [r["case_text"] for r in spark.read.parquet(path).select("case_id", "case_text").distinct().orderBy("case_id").collect()]
-    count = {}
-    for t in rows[::2]:
-        for f, y in sn.labelled(t):
-            p, n = count.get(tuple(f), (0, 0))
-            count[tuple(f)] = (p + y, n + 1)
-    w = sn.fit([(list(f), p, n) for f, (p, n) in count.items()])
-    held = [(sum(w.get(x, 0.0) for x in f) > 0) == bool(y) for t in rows[1::2] for f, y in sn.labelled(t)]
-    assert len(held) > 500 and sum(held) / len(held) > 0.98

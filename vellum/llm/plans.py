@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.packed import unpack
-from ..operators.rank import earliest
+from ..operators.rank import earliest, earliest_text
 from ..operators.references import reference_key
 from ..session import cut, table
 from . import cooccurrence, leakage, packing, repetition, sentences, splits
@@ -69,8 +69,8 @@ WITH w AS (SELECT DISTINCT trecho_id, unnest(regexp_extract_all(lower(texto), '\
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The sentences of every case text."""
-    cases = earliest(table(spark, d, "cases_clean"), "case_id", "loaded_at", "case_text")
-    return sentences.sentences(cases, "case_id", "case_text")
+    delivered = table(spark, d, "cases_clean")
+    return sentences.sentences(earliest_text(delivered, "case_id", "loaded_at", "case_text"), "case_id", "case_text", corpus=delivered)
 
 
 def p3_documents(spark: SparkSession, d: str) -> DataFrame:
