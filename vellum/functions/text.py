@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -36,6 +37,14 @@ def normalize(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
+def normal_word(word: str) -> str:
+    """normalize() of one token, for filters that run beside tokenisation."""
+    word = word.strip().lower()
+    for british, american in DIALECT:
+        word = word.replace(british, american)
+    return re.sub(r"is(ed|ation|ing|es)\b", r"iz\1", word).translate(str.maketrans("‐‑‘’", "--''"))
+
+
 def sort_key(c: Column | str) -> Column:
     """The words of a normalised term in alphabetical order, so that order and punctuation don't matter."""
     return F.array_join(F.sort_array(F.regexp_extract_all(F.col(c) if isinstance(c, str) else c, F.lit("([a-z0-9]+)"), F.lit(1))), " ")

@@ -9,6 +9,7 @@ from ..functions.text import digits_for_words
 
 OPENING, FALLBACK, GENDER_WINDOW, PRONOUN_WINDOW = 70, 700, 350, 1000
 NUMBER = r"[0-9]{1,3}(?:\.[0-9]+)?"
+#: Fixed value: statements of consent and ethics.
 BOILERPLATE = r"(?:this (?:case )?report complies with[^.]*\.\s*)|(?:informed (?:written )?consent (?:was|has been) obtained[^.]*\.\s*)|(?:(?:institutional review board|ethics committee|irb) approval[^.]*\.\s*)"
 YEARS = rf"({NUMBER})[-\s]years?[-\s]old|({NUMBER})\s+years?\s+of\s+age|\baged\s+({NUMBER})\b"
 PART_YEARS = rf"({NUMBER})[-\s](day|week|month)s?[-\s]old|({NUMBER})\s+(day|week|month)s?\s+of\s+age"

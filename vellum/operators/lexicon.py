@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN, normalize, sort_key
+from ..functions.text import TOKEN, normal_word, normalize, sort_key
 
 WINDOW = 6
 LONGEST = 8
 EXCLUDED_TYPES = ("LG", "HS")
 TOKEN_RE = re.compile(TOKEN)
-#: Citations of figures and tables, which name no entity.
+#: Fixed value: citations of figures and tables, which name no entity.
 CITATION = re.compile(
     r"\[\s*(?:Figure|Fig|Table)[^\]]{0,40}\]|\(\s*(?:Figure|Fig|Table)s?\.?\s*[\dA-Za-z\-,\s]{0,20}\)|\b(?:Figure|Fig|Table)s?\.\s*\d+[a-z]?",
     re.IGNORECASE,
@@ -50,19 +50,47 @@ def best(terms: DataFrame, keys: list[str], order: list) -> DataFrame:
     return terms.groupBy(*keys).agg(F.min(row).alias("__r")).select(*keys, *[F.col(f"__r.{c}").alias(c) for c in cols])
 
 
-def windows(docs: DataFrame, key: str, text: str, widest: int = WINDOW, masked: bool = True) -> DataFrame:
+#: Up to so many words of a dictionary are sent to the tasks as a filter (some 10 bytes each, 100 in a worker).
+VOCABULARY = 1_000_000
+
+
+class Known(dict):
+    """Whether a token may stand in a dictionary term, once a worker and word: it is a word of a term, or all its parts
+    between hyphens and apostrophes are words of sorted terms."""
+
+    def __init__(self, words: frozenset[str]):
+        self.words = words
+
+    def __missing__(self, token: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        norm = normal_word(token)
+        found = self[token] = norm in self.words or all(p in self.words for p in re.findall("[a-z0-9]+", norm))
+        return found
+
+
+def windows(docs: DataFrame, key: str, text: str, widest: int = WINDOW, masked: bool = True, words: frozenset[str] | None = None) -> DataFrame:
     """(key, i, n, start, end, surface, joined): every window of up to `widest` successive tokens of every text, citations
-    masked unless told otherwise. Offsets are half-open code points. Null texts have none."""
+    masked unless told otherwise; with `words`, windows of such words only, so that hardly more than the matches leave the
+    batch. Offsets are half-open code points. Null texts have none."""
     kind = dict(docs.dtypes)[key]
+    sent = None if words is None else docs.sparkSession.sparkContext.broadcast(words)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if sent is None else Known(sent.value)
         for batch in it:
             rows: list[tuple] = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = list(TOKEN_RE.finditer(mask(t) if masked else t)) if t else []
                 w, s, e = [m.group() for m in found], [m.start() for m in found], [m.end() for m in found]
-                for n in range(1, widest + 1):
-                    rows += [(k, i, n, s[i], e[j], t[s[i] : e[j]], " ".join(w[i : j + 1])) for i, j in enumerate(range(n - 1, len(w)))]
+                run = [len(w)] * len(w)  # the token at which the windows from here must end
+                if known is not None:
+                    stop = len(w)
+                    for i in range(len(w) - 1, -1, -1):
+                        stop = stop if known[w[i]] else i
+                        run[i] = stop
+                for i, stop in enumerate(run):
+                    rows += [(k, i, j - i + 1, s[i], e[j], t[s[i] : e[j]], " ".join(w[i : j + 1])) for j in range(i, min(stop, i + widest))]
                 if len(rows) > 200_000:
                     yield frame(rows, batch)
                     rows = []
@@ -88,7 +116,10 @@ def candidates(docs: DataFrame, key: str, text: str, gazetteer: DataFrame, types
     loose = best(g.drop("term_norm").filter("sort_key is not null"), ["sort_key"], order).select(F.col("sort_key").alias("key_"), F.struct(*row).alias("y"))
     # a window of n tokens has n words or more, so none wider than the longest term can match
     longest_term = g.agg(F.max(F.greatest(F.size(F.split("term_norm", " ")), F.size(F.split("sort_key", " "))))).first()[0]
-    w = windows(docs, key, text, min(WINDOW, max(longest_term or 1, 1))).withColumn("norm", normalize("joined")).drop("joined")
+    parts = g.select(F.explode(F.array_distinct(F.concat(F.split(F.coalesce("term_norm", F.lit("")), " "), F.split(F.coalesce("sort_key", F.lit("")), " ")))).alias("w")).distinct()
+    few = parts.limit(VOCABULARY + 1).collect()  # beyond that all windows go to the joins
+    words = frozenset(r["w"] for r in few) if len(few) <= VOCABULARY else None
+    w = windows(docs, key, text, min(WINDOW, max(longest_term or 1, 1)), words=words).withColumn("norm", normalize("joined")).drop("joined")
     w = w.withColumn("key_", F.when(F.col("n") > 1, sort_key("norm")))
     hit = w.join(exact, "norm", "left").join(loose, "key_", "left").withColumn("h", F.coalesce("x", "y")).filter("h is not null")
     hit = hit.select(key, "i", "n", "start", "end", "surface", "norm", *[F.col(f"h.{c}").alias(c) for c in row])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,8 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import text as ft
 from ..operators import association, corpus, graph, lexicon, relate, spans
 from ..session import cut, table
+from . import graphs
 from . import tables as tb
 
+# A concept and terms that name no entity.
+EXCLUDED_CUIS = ("C2745965",)
+EXCLUDED_TERMS = ("treatment", "follow-up", "diagnosis", "analysis", "procedures", "surgical", "consent was", "i did", "possible", "indicated", "oral")
 DROPPED = ["ART00000001_01", "ART00000002_01", "ART00000003_01"]
 
 
@@ -122,8 +128,12 @@ def x4_ngrams(spark: SparkSession, d: str) -> DataFrame:
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
     """Dictionary entities of the case texts, longest match."""
+    return entities_of(spark, d, tb.cases(spark, d, ["case_text"]))
+
+
+def entities_of(spark: SparkSession, d: str, cases: DataFrame) -> DataFrame:
     g = tb.gazetteer(spark, d).filter("retired_at is null")
-    hits = lexicon.candidates(tb.cases(spark, d, ["case_text"]), "case_id", "case_text", g, tb.entity_types(spark), excluded_terms=("treatment", "follow-up", "diagnosis"))
+    hits = lexicon.candidates(cases, "case_id", "case_text", g, tb.entity_types(spark), excluded_cuis=EXCLUDED_CUIS, excluded_terms=EXCLUDED_TERMS)
     return lexicon.longest(hits, "case_id")
 
 
@@ -157,21 +167,44 @@ def m9_counts(spark: SparkSession, d: str) -> DataFrame:
     return m7_linked(spark, d).groupBy("unit_category", "link_method").agg(F.count("*").alias("n"))
 
 
+def rule_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, relate.Options]:
+    """Texts, entities and options of the rules: how often the corpus has each word, and the priors of pairs of types that
+    the ontology gives (a row a pair of types)."""
+    prior = {(r["head_type"], r["tail_type"]): r["prior"] for r in graphs.o5_type_prior(spark, d).collect()}
+    frequency = tb.cases(spark, d, ["case_text"]).select(F.explode(ft.words("case_text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return tb.cases(spark, d, ["case_text"]), cut(entities(spark, d)), relate.Options(frequency=frequency, prior=prior)
+
+
 def r15_relations(spark: SparkSession, d: str) -> DataFrame:
     """Relations drawn from the case texts by the rules."""
-    return relate.relations(tb.cases(spark, d, ["case_text"]), cut(entities(spark, d)), "case_id", "case_text")
+    c, e, o = rule_inputs(spark, d)
+    return relate.relations(c, e, "case_id", "case_text", o)
 
 
 def r16_counts(spark: SparkSession, d: str) -> DataFrame:
     return r15_relations(spark, d).groupBy("relation", "assertion_status", "head_kind").agg(F.count("*").alias("n"))
 
 
+def explain(relations: DataFrame, case_id: str) -> DataFrame:
+    """The relations of one case in order, in words: ends, relation, what fired and the score."""
+    end = lambda kind: F.coalesce(F.concat(F.col(f"{kind}_text"), F.lit(" ["), F.col(f"{kind}_start"), F.lit(":"), F.col(f"{kind}_end"), F.lit("]")), F.lit("patient"))
+    line = F.concat(end("head"), F.lit(" -"), F.col("relation"), F.lit("-> "), end("tail"))
+    return relations.filter(F.col("case_id") == case_id).select("case_id", "seq", line.alias("relation"), "assertion_status", "trigger_text", "score", F.array_join("rule_path", " ").alias("fired"))
+
+
+def r16_explained(spark: SparkSession, d: str) -> DataFrame:
+    """The relations of the first case, explained. The case is picked before its texts are read, so one case is worked on."""
+    first = table(spark, d, "cases_clean").agg(F.min("case_id")).first()[0]
+    c = tb.cases(spark, d, ["case_text"]).filter(F.col("case_id") == first)
+    return explain(relate.relations(c, entities_of(spark, d, c), "case_id", "case_text"), first)
+
+
 def r17_ablations(spark: SparkSession, d: str) -> DataFrame:
     """How many relations the rules draw with each part switched off."""
-    c, e = tb.cases(spark, d, ["case_text"]), cut(entities(spark, d))
+    c, e, o = rule_inputs(spark, d)
     out = None
-    for name, o in {"all": relate.Options(), "word_class_backoff": relate.Options(word_class_backoff=False), "coordination": relate.Options(coordination=False), "negation": relate.Options(negation=False), "transitions": relate.Options(transitions=False)}.items():
-        n = relate.relations(c, e, "case_id", "case_text", o).groupBy("relation").agg(F.count("*").alias("n"), F.count_if(F.col("assertion_status") == "negated").alias("negated")).withColumn("without", F.lit(name))
+    for off in [None, "word_class_backoff", "coordination", "negation", "transitions"]:
+        n = relate.relations(c, e, "case_id", "case_text", replace(o, **{off: False}) if off else o).groupBy("relation").agg(F.count("*").alias("n"), F.count_if(F.col("assertion_status") == "negated").alias("negated")).withColumn("without", F.lit(off or "all"))
         out = n if out is None else out.unionByName(n)
     return out
 
@@ -183,13 +216,7 @@ def t3_clauses(spark: SparkSession, d: str) -> DataFrame:
 
 def t4_word_classes(spark: SparkSession, d: str) -> DataFrame:
     """The words of the case texts with their class where they stand alone: listed, or by their ending."""
-    w = x3_words(spark, d)
-    listed = ft.lookup(relate.word_classes(), F.col("word"))
-    ending = F.lit("NOUN")
-    for s, c in reversed(relate.suffixes()):
-        ending = F.when(F.col("word").endswith(s) & (F.length("word") > len(s) + 1), c).otherwise(ending)
-    number = F.col("word").rlike("^[0-9]")
-    return w.select("word", "n", F.when(number, "NUM").otherwise(F.coalesce(listed, F.when(F.col("word").endswith("ing"), "NOUN").otherwise(ending))).alias("word_class"))
+    return x3_words(spark, d).select("word", "n", relate.word_class(F.col("word"), F.lit(False)).alias("word_class"))
 
 
 def h8_measurements(spark: SparkSession, d: str) -> DataFrame:
@@ -227,7 +254,8 @@ GENDER_SQL = tb.sql("c") + """, p AS (SELECT case_id, regexp_replace(regexp_repl
 TOKENS_SQL = f"""WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '{TOKEN_SQL}|[^A-Za-z0-9]+')) x, generate_subscripts(regexp_extract_all(text, '{TOKEN_SQL}|[^A-Za-z0-9]+'), 1) i FROM documents),
     o AS (SELECT doc_id, x, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) e FROM p)
     SELECT doc_id, count(*) n_tokens, sum(e - length(x))::bigint sum_start, max(e)::int last_end FROM o WHERE regexp_matches(x, '^[A-Za-z0-9]') GROUP BY doc_id"""
-CLASS_SQL = "CASE WHEN regexp_matches(word, '^[0-9]') THEN 'NUM' " + " ".join(f"WHEN word IN ({', '.join(repr(w) for w in sorted(x for x, y in relate.word_classes().items() if y == c))}) THEN '{c}'" for c in sorted(set(relate.word_classes().values()))) + " WHEN suffix(word, 'ing') THEN 'NOUN' " + " ".join(f"WHEN suffix(word, '{s}') AND length(word) > {len(s) + 1} THEN '{c}'" for s, c in relate.suffixes()) + " ELSE 'NOUN' END"
+CLASSES = {w: c for c, ws in reversed(relate.WORD_CLASSES) for w in ws.split()}
+CLASS_SQL = "CASE WHEN regexp_matches(word, '^[0-9]') THEN 'NUM' " + " ".join(f"WHEN word IN ({', '.join(repr(w) for w in sorted(x for x, y in CLASSES.items() if y == c))}) THEN '{c}'" for c in sorted(set(CLASSES.values()))) + " WHEN suffix(word, 'ing') THEN 'NOUN' " + " ".join(f"WHEN suffix(word, '{s}') AND length(word) > {len(s) + 1} THEN '{c}'" for s, c in relate.SUFFIXES) + " ELSE 'NOUN' END"
 SQL = {
     "x1_tokens": TOKENS_SQL,
     "c1_dropped": tb.sql("c") + f"SELECT case_id, age, gender FROM c WHERE case_id NOT IN {tuple(DROPPED)}",
@@ -251,4 +279,4 @@ SQL = {
     "t4_word_classes": tb.sql("c") + f", w AS (SELECT unnest(regexp_extract_all(lower(case_text), '{WORD_SQL}')) word FROM c) SELECT word, count(*) n, {CLASS_SQL} word_class FROM w GROUP BY word",
     "t3_clauses": tb.sql("r") + "SELECT token_gap, count(*) FILTER (WHERE same_clause) same, count(*) n FROM r GROUP BY ALL",
 }
-QUERIES = {f.__name__: f for f in (c1_dropped, c2_merged, c3_without_boilerplate, c4_digits, c5_demographics, c7_gender, c8_overridden, c10_audit, c11_span_faults, g1_normalized, g3_priority, g4_kept, g5_best, g6_stop_terms, g7_statistics, g7_lengths, x1_tokens, x3_words, x4_ngrams, e1_windows, e5_entities, e7_surfaces, m1_measurements, m7_linked, m9_counts, r15_relations, r16_counts, r17_ablations, t3_clauses, t4_word_classes, h8_measurements, h14_owners)}
+QUERIES = {f.__name__: f for f in (c1_dropped, c2_merged, c3_without_boilerplate, c4_digits, c5_demographics, c7_gender, c8_overridden, c10_audit, c11_span_faults, g1_normalized, g3_priority, g4_kept, g5_best, g6_stop_terms, g7_statistics, g7_lengths, x1_tokens, x3_words, x4_ngrams, e1_windows, e5_entities, e7_surfaces, m1_measurements, m7_linked, m9_counts, r15_relations, r16_counts, r16_explained, r17_ablations, t3_clauses, t4_word_classes, h8_measurements, h14_owners)}

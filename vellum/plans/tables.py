@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.rank import earliest
+from ..operators.rank import earliest, earliest_text
 from ..operators.references import reference_key
 from ..session import table
 
@@ -20,8 +20,9 @@ CASE = "article_id age gender age_upstream gender_upstream age_method gender_met
 
 
 def cases(spark: SparkSession, d: str, columns: list[str] | None = None) -> DataFrame:
-    """Cases; only the asked columns are read."""
-    return earliest(table(spark, d, "cases_clean"), "case_id", "loaded_at", *(columns or CASE))
+    """Cases; only the asked columns are read. Texts of keys that aren't repeated are shuffled by no one."""
+    first = earliest_text if columns is None or "case_text" in columns else earliest
+    return first(table(spark, d, "cases_clean"), "case_id", "loaded_at", *(columns or CASE))
 
 
 RELATION = "case_id article_id relation assertion_status head_kind head_start head_end head_cui head_entity_type head_text tail_start tail_end tail_cui tail_entity_type tail_text trigger_text trigger_start trigger_end trigger_category sent_start sent_end token_gap same_clause score rule_path".split()

@@ -16,6 +16,8 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
         "spark.master": f"local[{cpus}]",
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",
+        # small tables still use every core
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": os.environ.get("VELLUM_DRIVER_MEMORY", "12g"),
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
