@@ -33,12 +33,69 @@ def test_language_model(spark):
     assert held[0] == pytest.approx(alone[0]) and held[1] == pytest.approx(alone[1])
 
 
-def test_logistic(spark):
+KINDS = "id int, feature string, value double, label string, fold int"
+
+
+def test_one_vs_rest(spark):
     rng = random.Random(1)
-    rows = [(i, f, 1.0, int((f == "good") != (rng.random() < 0.1))) for i in range(400) for f in [rng.choice(["good", "bad"])]]
-    w = {r["feature"]: r["weight"] for r in features.logistic(spark.createDataFrame(rows, "id int, feature string, value double, label int")).collect()}
-    assert w["good"] + w["(bias)"] > 0.5 and w["bad"] + w["(bias)"] < -0.5
-    assert features.logistic(spark.createDataFrame([], "id int, feature string, value double, label int")).count() == 0
+    rows = [(i, f, 1.0, rng.choice("abc") if rng.random() < 0.1 else {"x": "a", "y": "b", "z": "c"}[f], i % 3) for i in range(600) for f in [rng.choice("xyz")]]
+    df = spark.createDataFrame(rows, KINDS)
+    w = features.one_vs_rest(df.drop("fold"))
+    got = {r["id"]: r["class"] for r in features.applied(df.select("id", "feature", "value"), w).collect()}
+    assert len(got) == 600 and all(got[i] == {"x": "a", "y": "b", "z": "c"}[f] for i, f, *_ in rows)
+    # a fold's model is the one fitted without the fold
+    part = {(r["class"], r["feature"]): r["weight"] for r in features.one_vs_rest(df, 3).filter("fold = 1").collect()}
+    alone = {(r["class"], r["feature"]): r["weight"] for r in features.one_vs_rest(df.filter("fold <> 1").drop("fold")).collect()}
+    assert part.keys() == alone.keys() and all(part[k] == pytest.approx(alone[k], abs=1e-6) for k in part)
+    held = features.applied(df.select("id", "fold", "feature", "value"), features.one_vs_rest(df, 3))
+    assert held.count() == 600
+    assert features.one_vs_rest(spark.createDataFrame([], KINDS)).count() == 0
+
+
+def test_fit_is_the_optimum(spark):
+    """At the weights found, every gradient of the weighted, regularised likelihood is near zero."""
+    rng = random.Random(2)
+    x = {i: {f: rng.random() for f in rng.sample("abcde", 3)} for i in range(300)}
+    y = {i: "yes" if sum(v * {"a": 3, "b": -2}.get(f, 0.2) for f, v in fs.items()) + rng.gauss(0, 0.5) > 0.3 else "no" for i, fs in x.items()}
+    df = spark.createDataFrame([(i, f, v, y[i], 0) for i, fs in x.items() for f, v in fs.items()], KINDS)
+    w = {r["feature"]: r["weight"] for r in features.one_vs_rest(df, rounds=3000, tolerance=1e-6).filter("class = 'yes'").collect()}
+    n, pos = len(x), sum(v == "yes" for v in y.values())
+    heavy = min(max((n - pos) / pos, 1), 20)
+    for f in w:
+        g = -1e-4 * w[f]
+        for i, fs in x.items():
+            z = w["(bias)"] + sum(w[k] * v for k, v in fs.items())
+            g += (fs.get(f, 0) if f != "(bias)" else 1) * ((y[i] == "yes") - 1 / (1 + math.exp(-z))) * (heavy if y[i] == "yes" else 1) / n
+        assert abs(g) < 1e-4
+
+
+def test_model_tables(spark, tmp_path):
+    from vellum.sources import files, sinks
+
+    w = spark.createDataFrame([(0, "a", "f", 0.1), (0, "b", "f", -0.2)], "fold int, class string, feature string, weight double")
+    sinks.write_model({"weights": w}, str(tmp_path / "m"))
+    assert sorted(files.read_model(spark, str(tmp_path / "m"), ["weights"])["weights"].collect()) == sorted(w.collect())
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        sinks.write_model({"weights": w}, str(tmp_path / "m"))
+    assert files.read_frequencies(spark, str(tmp_path / "none.csv")).count() == 0
+
+
+def test_order_of_all_rows(spark):
+    from vellum.operators.rank import ordered
+
+    rows = [(f"k{i * 7919 % 1000:04d}",) for i in range(1000)]
+    got = sorted((r["rank"], r["k"]) for r in ordered(spark.createDataFrame(rows, "k string"), ["k"]).collect())
+    assert got == list(enumerate(sorted(k for k, in rows)))
+
+
+def test_judged_pairs_must_be_candidates(spark):
+    from vellum.operators import evaluate
+
+    g = spark.createDataFrame([("a", True, "R"), ("b", True, "R")], "k string, is_relation boolean, gold_relation string")
+    p = spark.createDataFrame([("a", "R", 1.0)], "k string, relation string, score double")
+    assert evaluate.judged(g, p, ["k"], g.select("k")).count() == 2
+    with pytest.raises(ValueError, match="no candidates"):
+        evaluate.judged(g, p, ["k"], p.select("k"))
 
 
 def test_between(spark):

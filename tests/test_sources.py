@@ -46,7 +46,7 @@ def test_piped(spark, tmp_path):
 def test_filtered_terms(spark):
     c = spark.createDataFrame([("C1", "ENG", "MSH", "PT", "Fever", "N"), ("C1", "SPA", "MSH", "PT", "Fiebre", "N"), ("C2", "ENG", "XX", "PT", "b", "N"), ("C1", "ENG", "MSH", "SY", "old", "O")], "CUI string, LAT string, SAB string, TTY string, STR string, SUPPRESS string")
     t = spark.createDataFrame([("C1", "T1"), ("C1", "T1"), ("C2", "T2")], "CUI string, TUI string")
-    assert [(r["term_norm"], r["tui"]) for r in files.filtered_terms(c, t, ["T1"], ["MSH"]).collect()] == [("fever", "T1")]
+    assert [(r["term_norm"], r["tui"]) for r in files.filtered_terms(c, t, ["T1"], "MSH").collect()] == [("fever", "T1")]
 
 
 def test_pasted(spark):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rank import ordered
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
@@ -16,9 +18,11 @@ def prf(df: DataFrame) -> DataFrame:
     return df.withColumns({"precision": p, "recall": r, "f1": ratio(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))})
 
 
-def judged(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
+def judged(gold: DataFrame, predicted: DataFrame, keys: list[str], candidates: DataFrame | None = None) -> DataFrame:
     """gold (keys, is_relation, gold_relation) with the predicted relation and score, null where none: pairs outside gold
-    aren't judged."""
+    aren't judged. With `candidates` (keys), a judged pair that is no candidate is an error."""
+    if candidates is not None and (lost := gold.join(candidates, keys, "left_anti").limit(3).collect()):
+        raise ValueError(f"judged pairs that are no candidates: {lost}")
     return gold.join(predicted.select(*keys, F.col("relation").alias("predicted"), "score"), keys, "left")
 
 
@@ -30,6 +34,14 @@ def detection(j: DataFrame, by: list[str]) -> DataFrame:
     return prf(g.agg(n(hit & true).alias("tp"), n(hit & ~true).alias("fp"), n(~hit & true).alias("fn"), n(hit & true & (F.col("predicted") == F.col("gold_relation"))).alias("typed")))
 
 
+def assertions(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
+    """(gold_assertion, hits, right, accuracy): of the judged relations (keys, is_relation, gold_assertion) that were found
+    (keys, assertion), how many have the judged assertion."""
+    j = gold.filter("is_relation").join(predicted.select(*keys, "assertion"), keys)
+    g = j.groupBy("gold_assertion").agg(F.count("*").alias("hits"), F.count_if(F.col("assertion") == F.col("gold_assertion")).alias("right"))
+    return g.withColumn("accuracy", ratio(F.col("right"), F.col("hits")))
+
+
 def per_relation(j: DataFrame) -> DataFrame:
     """tp, fp, fn of each relation type: a wrong type is a miss of the gold type and a false hit of the predicted one."""
     hit, true = F.col("predicted").isNotNull(), F.col("is_relation")
@@ -64,9 +76,7 @@ def bootstrap(cases: DataFrame, rounds: int) -> DataFrame:
     numbered cases and sums six counts, so rounds times cases rows are aggregated before the shuffle. Only the rounds' values
     (as many as asked for) are sorted.
     """
-    from pyspark.sql import Window as W
-
-    order = cases.withColumn("i", F.row_number().over(W.orderBy("case_id")) - 1)  # judged cases: annotated by hand, so few
+    order = ordered(cases, ["case_id"], "i")
     n = cases.agg(F.count("*").alias("n"))
     spark = cases.sparkSession
     draws = spark.range(rounds).select(F.col("id").alias("b")).crossJoin(F.broadcast(n)).select("b", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).select("b", draw(F.col("b"), F.col("k"), F.col("n")).alias("i"))
@@ -83,12 +93,7 @@ def win_tie_loss(cases: DataFrame, a: str, b: str, tolerance: float = 1e-9) -> D
 
 
 def stratified(items: DataFrame, key: str, size: str, k: int) -> DataFrame:
-    """k items spread over the order of (size, key): those at ranks int(i n / k). Ranks are positions within a size plus the
-    number of smaller items, so no task sorts all items; only the table of distinct sizes is summed in one."""
-    from pyspark.sql import Window as W
-
-    counts = items.groupBy(size).agg(F.count("*").alias("n"))
-    before = counts.select(F.col(size).alias("__s"), F.coalesce(F.sum("n").over(W.orderBy(size).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = items.withColumn("w", F.row_number().over(W.partitionBy(size).orderBy(key)) - 1).join(before, F.col(size).eqNullSafe(F.col("__s"))).withColumn("r", F.col("w") + F.col("before"))
+    """k items spread over the order of (size, key): those at ranks int(i n / k)."""
+    ranked = ordered(items, [size, key], "r")
     want = items.sparkSession.range(k).crossJoin(F.broadcast(items.agg(F.count("*").alias("n")))).select(F.floor(F.col("id") * F.col("n") / k).alias("r")).distinct()
-    return ranked.join(want, "r", "left_semi").select(key, size, "r")
+    return ranked.join(F.broadcast(want), "r", "left_semi").select(key, size, "r")  # k rows

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def text_between(text: Column, head_end: Column, tail_start: Column, head_start: Column, tail_end: Column, sent_start: Column) -> Column:
     """The text between the ends in physical order, or from the start of the sentence for a person as head."""
@@ -54,27 +61,104 @@ def decided(z: DataFrame) -> DataFrame:
     return p.groupBy("rel_id").agg(best, F.sum("p").alias("t")).select("rel_id", F.col("b.class").alias("class"), (-F.col("b.np") / F.col("t")).alias("probability"))
 
 
-def logistic(examples: DataFrame, rounds: int = 12, ridge: float = 1e-4, most: float = 20.0) -> DataFrame:
-    """(feature, weight) of a two-class logistic regression on examples (id, feature, value, label), by full-batch steps:
-    each is a join of features and weights, a sum a row and a sum a feature, scaled by a bound on the feature's curvature.
-    The positive class is weighted by clamp(negatives / positives, 1, most). The weights are cut from their lineage each
-    step. An intercept is the feature '(bias)'. The order of rows doesn't matter; no examples give no weights.
+#: The weights of all models together may number so many: they are on the driver and in every task.
+MODEL = 50_000_000
+
+
+def one_vs_rest(examples: DataFrame, folds: int = 1, rounds: int = 40, ridge: float = 1e-4, most: float = 20.0, tolerance: float = 5e-3) -> DataFrame:
+    """(fold, class, feature, weight): logistic regressions of each class against the rest, on examples (id, feature, value,
+    label, and with folds > 1 fold, 0 to folds - 1). Model `fold` of several is fitted without the examples of its own fold,
+    model 0 of one on all. An intercept is the feature '(bias)'.
+
+    All models climb at once: a pass over the examples sums the gradients of every fold and class in Arrow batches, which
+    are summed again by feature; steps are accelerated and scaled by a bound on each feature's curvature, until no weight
+    would move by more than `tolerance`, or `rounds`. The positive class weighs clamp(negatives / positives, 1, most), most
+    at least the number of its examples. The order of rows doesn't matter; no examples give no weights. The weights of all
+    models (folds x classes x features) are checked against MODEL; examples are a table of any size.
     """
-    from ..session import cut
-
-    rows = examples.select("id", "label").distinct()
-    x = examples.select("id", "feature", "value", "label").unionByName(rows.select("id", F.lit("(bias)").alias("feature"), F.lit(1.0).alias("value"), "label"))
-    x = cut(x)
-    n = x.filter("feature = '(bias)'").agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("pos")).first()
-    total, pos = n["n"], n["pos"]
-    heavy = min(max((total - pos) / max(pos, 1), 1.0), most)
-    cost = F.when(F.col("label") == 1, heavy).otherwise(1.0)
-    active = F.count("*").alias("k")
-    widest = x.groupBy("id").agg(active).agg(F.max("k")).first()[0] or 1
-    w = cut(x.groupBy("feature").agg((F.sum(F.col("value") * F.col("value") * cost) * 0.25 * widest / max(total, 1) + ridge).alias("curve")).withColumn("weight", F.lit(0.0)))
+    spark = examples.sparkSession
+    rows = examples.withColumn("fold", F.col("fold") if folds > 1 else F.lit(-1)).groupBy("id").agg(F.collect_list(F.struct("feature", F.col("value").cast("double").alias("value"))).alias("x"), F.min("label").alias("label"), F.min("fold").alias("fold"))
+    rows = cut(rows.select("label", F.col("fold").cast("int").alias("fold"), "x").filter("label is not null"))
+    names = ["(bias)", *sorted(r["f"] for r in rows.select(F.explode("x.feature").alias("f")).distinct().collect())]
+    support = {(r["fold"], r["label"]): r["count"] for r in rows.groupBy("fold", "label").count().collect()}
+    classes = sorted({c for _, c in support})
+    shape = (folds, len(classes), len(names))
+    if folds * len(classes) * len(names) > MODEL:
+        raise ValueError(f"{shape} weights are more than {MODEL}: drop rare features")
+    schema = "fold int, class string, feature string, weight double"
+    if not classes:
+        return spark.createDataFrame([], schema)
+    total = np.array([sum(n for (f, _), n in support.items() if f != m) for m in range(folds)], float)[:, None]
+    pos = np.array([[sum(n for (f, k), n in support.items() if f != m and k == c) for c in classes] for m in range(folds)], float)
+    heavy = np.clip((total - pos) / np.maximum(pos, 1), 1, np.minimum(most, np.maximum(pos, 1)))
+    at, number = {f: i for i, f in enumerate(names)}, {c: i for i, c in enumerate(classes)}
+    coded = spark.sparkContext.broadcast((at, number))
+
+    def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, number = coded.value
+        for b in it:
+            xs = b.column(2).to_pylist()
+            out = [[number[v] for v in b.column(0).to_pylist()], b.column(1), [[0, *(at[f["feature"]] for f in x)] for x in xs], [[1.0, *(f["value"] for f in x)] for x in xs]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) if isinstance(v, list) else v for v, t in zip(out, (pa.int32(), None, pa.list_(pa.int32()), pa.list_(pa.float64())))], ["y", "fold", "idx", "val"])
+
+    data = cut(rows.mapInArrow(code, "y int, fold int, idx array<int>, val array<double>"))
+
+    def summed(weights: np.ndarray | None) -> np.ndarray:
+        """The gradient at `weights`, or without them the curvature bound."""
+        sent = spark.sparkContext.broadcast(weights)
+
+        def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            g = np.zeros(shape)
+            for b in it:
+                if not b.num_rows:
+                    continue
+                y, fold = (np.asarray(b.column(k)) for k in (0, 1))
+                idx, val = (b.column(k).flatten().to_numpy(zero_copy_only=False) for k in (2, 3))
+                n = np.asarray(b.column(2).value_lengths())
+                start, row = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+                for m in range(folds):
+                    for c in range(shape[1]):
+                        cost = np.where(y == c, heavy[m, c], 1.0) * (fold != m)
+                        if sent.value is None:
+                            g[m, c] += np.bincount(idx, val * val * (cost * np.add.reduceat(np.abs(val) > 0, start))[row] * 0.25, shape[2])
+                        else:
+                            z = np.add.reduceat(val * sent.value[m, c][idx], start)
+                            err = ((y == c) - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) * cost
+                            g[m, c] += np.bincount(idx, val * err[row], shape[2])
+            where = np.flatnonzero(g)
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(g.ravel()[where])], ["k", "g"])
+
+        got = data.mapInArrow(part, "k bigint, g double").groupBy("k").agg(F.sum("g").alias("g")).toPandas()
+        sent.destroy()
+        out = np.zeros(folds * shape[1] * shape[2])
+        out[got["k"].to_numpy()] = got["g"].to_numpy()
+        return out.reshape(shape)
+
+    scale = np.maximum(total, 1)[:, :, None]
+    curve = summed(None) / scale + ridge
+    w = ahead = np.zeros(shape)
+    t = 1.0
     for _ in range(rounds):
-        z = x.join(w, "feature").groupBy("id", "label").agg(F.sum(F.col("value") * F.col("weight")).alias("z"))
-        err = z.select("id", ((F.col("label") - sigmoid(F.col("z"))) * cost).alias("e"))
-        grad = x.join(err, "id").groupBy("feature").agg((F.sum(F.col("value") * F.col("e")) / max(total, 1)).alias("g"))
-        w = cut(w.join(grad, "feature").select("feature", "curve", (F.col("weight") + 1.8 * (F.col("g") - ridge * F.col("weight")) / F.col("curve")).alias("weight")))
-    return w.select("feature", "weight")
+        move = (summed(ahead) / scale - ridge * ahead) / curve
+        new, faster = ahead + move, (1 + math.sqrt(1 + 4 * t * t)) / 2
+        if (move * (new - w)).sum() < 0:  # past the top: begin the acceleration anew
+            faster = 1.0
+        ahead, w, t = new + (t - 1) / faster * (new - w), new, faster
+        if np.abs(move).max() < tolerance:
+            break
+    table = [(m, classes[c], names[i], float(w[m, c, i])) for m in range(folds) for c in range(shape[1]) for i in range(shape[2]) if w[m, c, i]]
+    return spark.createDataFrame(table, schema)
+
+
+def applied(features: DataFrame, weights: DataFrame) -> DataFrame:
+    """(id, class, probability): the class that each row of features (id, feature, value, and fold where the weights have
+    several) gets: of the highest probability, ties to the first name, normalised by the sum over the classes."""
+    on = ["fold", "feature"] if "fold" in features.columns else ["feature"]
+    w = weights if "fold" in features.columns else weights.drop("fold")
+    few = F.broadcast(w)  # at most MODEL weights
+    bias = w.filter("feature = '(bias)'").select(*on[:-1], "class", F.col("weight").alias("bias"))
+    ids = features.select("id", *on[:-1]).distinct()
+    start = ids.join(F.broadcast(bias), on[:-1]) if on[:-1] else ids.crossJoin(F.broadcast(bias))
+    s = features.join(few, on).groupBy("id", "class").agg(F.sum(F.col("value") * F.col("weight")).alias("s"))
+    z = start.join(s, ["id", "class"], "left").select(F.col("id").alias("rel_id"), "class", (F.coalesce("s", F.lit(0.0)) + F.col("bias")).alias("z"))
+    return decided(z).withColumnRenamed("rel_id", "id")

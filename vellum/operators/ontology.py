@@ -17,7 +17,10 @@ DIRECTIONS = {
 
 def oriented_edges(raw: DataFrame, concepts: DataFrame, directions: dict[str, tuple[str, bool]] = DIRECTIONS) -> DataFrame:
     """(head_cui, tail_cui, rela, relation, sab, seq) from raw (cui1, cui2, rela, sab, seq): attributes with a direction only,
-    no self loops, both concepts in `concepts` (cui), ends swapped where the direction says so. Two semi-joins."""
+    no self loops, both concepts in `concepts` (cui), ends swapped where the direction says so; suppressed edges are left out
+    where raw tells them (suppress other than N). Two semi-joins."""
+    if "suppress" in raw.columns:
+        raw = raw.filter("suppress = 'N'")
     table = raw.sparkSession.createDataFrame([(k, r, s) for k, (r, s) in directions.items()], "rela string, relation string, swap boolean")
     e = raw.join(F.broadcast(table), "rela").filter("cui1 <> cui2")
     e = e.join(concepts.select(F.col("cui").alias("cui1")), "cui1", "left_semi").join(concepts.select(F.col("cui").alias("cui2")), "cui2", "left_semi")

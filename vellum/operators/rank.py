@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import cut
+
 #: A bucket of group_rank holds about this many rows, however many there are.
 BUCKET_ROWS = 500_000
 LEAST_BUCKETS = 64
@@ -59,3 +61,14 @@ def earliest_text(df: DataFrame, key: str, at: str, *columns: str) -> DataFrame:
     same = F.col(key).eqNullSafe(F.col("__k"))
     once = wide.join(again, same, "left_anti")
     return once.unionByName(earliest(wide.join(again, same, "left_semi"), key, at, *columns))
+
+
+def ordered(df: DataFrame, by: Sequence[str], out: str = "rank") -> DataFrame:
+    """0-based position of each row in the order of `by` over all rows (ties in any order). Rows are sorted in ranges, each
+    ranked by itself and shifted by the rows of the ranges before it, so no task holds them all; the table of ranges has a
+    row a partition. The sorted rows are written once, as positions must not change between reads."""
+    part = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__p", F.spark_partition_id()))
+    before = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    shifts = part.groupBy("__p").agg(F.count("*").alias("n")).select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__shift"))
+    ranked = part.withColumn(out, F.row_number().over(W.partitionBy("__p").orderBy(*by)) - 1).join(F.broadcast(shifts), "__p")
+    return ranked.withColumn(out, F.col(out) + F.col("__shift")).drop("__p", "__shift")

@@ -124,15 +124,68 @@ def f6_weak_labels(spark: SparkSession, d: str) -> DataFrame:
     return keyed(spark, d).select(*KEY, F.when(F.col("score") >= 1.0, F.col("relation")).otherwise("NENHUMA").alias("label"))
 
 
-def examples(spark: SparkSession, d: str) -> DataFrame:
-    """Structural features of the best candidates with a label: whether their rules saw one clause."""
-    c = candidates(spark, d)
-    label = c.select("rel_id", F.array_contains("rule_path", "clause").cast("int").alias("label"))
-    return features.structural(c).join(label, "rel_id").withColumnRenamed("rel_id", "id")
+#: Groups of features beside the structural ones, by variant.
+VARIANTS = {"estrutura": [], "lexico": ["ngram"], "pmi": ["pmi"], "lm": ["lm"], "completo": ["ngram", "pmi", "lm"]}
+
+
+def feature_groups(spark: SparkSession, d: str) -> DataFrame:
+    """(id, case_id, feature, value, group, label): every feature of the candidates: structural, word pairs between the ends
+    that two or more candidates have, association of these pairs, and the held-out language score. The label is the relation
+    if its rules saw one clause, else NENHUMA. Written once, as all variants read it."""
+    c = cut(candidates(spark, d).join(tb.relations(spark, d, ["relation"]).select("rel_id", "relation"), "rel_id"))
+    one = lambda df, name: df.select("rel_id", "feature", F.col("value").cast("double").alias("value"), F.lit(name).alias("group"))
+    grams = c.select("rel_id", F.explode(F.array_distinct(ft.ngrams(ft.words("between"), 2))).alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("n")).filter("n >= 2").select("gram")
+    ngram = grams.join(often, "gram", "left_semi").select("rel_id", F.concat(F.lit("ngrama:"), "gram").alias("feature"), F.lit(1.0).alias("value"))
+    words = c.select("rel_id", ft.words("between").alias("w"))
+    pairs = association.bigrams(words, "w", ["rel_id"]).drop("c").join(association.association(snippet_words(spark, d), "w", 5), ["w1", "w2"]).groupBy("rel_id").agg((F.max("pmi") / 12).alias("pmi_max"), (F.avg("pmi") / 12).alias("pmi_media"), F.least(F.max("llr") / 300, F.lit(1.0)).alias("llr_max"))
+    pmi = pairs.select("rel_id", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in ("pmi_max", "pmi_media", "llr_max")])).alias("f")).select("rel_id", "f.*")
+    lm = lm_scores(c).select("rel_id", F.lit("lm_score").alias("feature"), F.col("lm_score").alias("value"))
+    every = one(features.structural(c), "estrutura").unionByName(one(ngram, "ngram")).unionByName(one(pmi, "pmi")).unionByName(one(lm, "lm"))
+    label = F.when(F.array_contains("rule_path", "clause"), F.col("relation")).otherwise("NENHUMA")
+    return cut(every.join(c.select("rel_id", "case_id", label.alias("label")), "rel_id").withColumnRenamed("rel_id", "id"))
+
+
+def of_variant(f: DataFrame, variant: str) -> DataFrame:
+    return f.filter(F.col("group").isin("estrutura", *VARIANTS[variant]))
 
 
 def f7_weights(spark: SparkSession, d: str) -> DataFrame:
-    return features.logistic(examples(spark, d))
+    """Weights of relation against none on all groups of features."""
+    f = feature_groups(spark, d).withColumn("label", F.when(F.col("label") == "NENHUMA", "NENHUMA").otherwise("REL"))
+    return features.one_vs_rest(f).filter("class = 'REL'").select("feature", "weight")
+
+
+def f9_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of each relation against the rest on all groups of features."""
+    return features.one_vs_rest(feature_groups(spark, d)).select("class", "feature", "weight")
+
+
+def f11_variants(spark: SparkSession, d: str) -> DataFrame:
+    """For each variant of features, the classes that its models give to the candidates, against the labels."""
+    f, out = feature_groups(spark, d), None
+    for v in VARIANTS:
+        own = of_variant(f, v)
+        got = features.applied(own, features.one_vs_rest(own)).join(own.select("id", "label").distinct(), "id")
+        n = got.groupBy("label").agg(F.count_if(F.col("class") == F.col("label")).alias("agree"), F.count("*").alias("n")).withColumn("variant", F.lit(v))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+def f12_cross_checked(spark: SparkSession, d: str) -> DataFrame:
+    """How far another fitter, the engine's own multinomial regression, gives the candidates the same class as one against the
+    rest, on structural features."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizer, StringIndexer
+
+    f = of_variant(feature_groups(spark, d), "estrutura")
+    own = features.applied(f, features.one_vs_rest(f)).select("id", F.col("class").alias("own"))
+    rows = f.groupBy("id", "label").agg(F.collect_list("feature").alias("names"))
+    coded = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(rows)
+    x = CountVectorizer(inputCol="names", outputCol="x", binary=True).fit(rows).transform(coded.transform(rows))
+    got = LogisticRegression(featuresCol="x", labelCol="y", regParam=1e-4, maxIter=100).fit(x).transform(x)
+    name = F.element_at(F.array(*map(F.lit, coded.labels)), F.col("prediction").cast("int") + 1)
+    return got.select("id", "label", name.alias("other")).join(own, "id").groupBy("label").agg(F.count_if(F.col("own") == F.col("other")).alias("same"), F.count("*").alias("n"))
 
 
 def f9_decided(spark: SparkSession, d: str) -> DataFrame:
@@ -214,15 +267,20 @@ def v12_left(spark: SparkSession, d: str) -> DataFrame:
     return p.join(done, PAIR, "left_anti")
 
 
-def n8_lm_score(spark: SparkSession, d: str) -> DataFrame:
-    """How much likelier the words between the ends are among relations than among others, clipped to -1..1, without the
-    rows of the same case."""
-    c = candidates(spark, d).select("rel_id", "case_id", ft.words("between").alias("w"), F.array_contains("rule_path", "clause").alias("yes"))
+def lm_scores(c: DataFrame) -> DataFrame:
+    """(rel_id, lm_score) of candidates (rel_id, case_id, between, rule_path)."""
+    c = c.select("rel_id", "case_id", ft.words("between").alias("w"), F.array_contains("rule_path", "clause").alias("yes"))
     part = lambda keep, name: association.held_out(c, "w", "rel_id", "case_id", c.filter(keep)).withColumnRenamed("logp", name)
     j = part(F.col("yes"), "a").join(part(~F.col("yes"), "b"), "rel_id")
     return j.select("rel_id", F.round(F.least(F.greatest(F.col("a") - F.col("b"), F.lit(-3.0)), F.lit(3.0)) / 3, 6).alias("lm_score"))
 
 
+def n8_lm_score(spark: SparkSession, d: str) -> DataFrame:
+    """How much likelier the words between the ends are among relations than among others, clipped to -1..1, without the
+    rows of the same case."""
+    return lm_scores(candidates(spark, d))
+
+
 def f10_stacked(spark: SparkSession, d: str) -> DataFrame:
     """Structural features with the held-out language score as one more."""
     return features.structural(candidates(spark, d)).unionByName(n8_lm_score(spark, d).select("rel_id", F.lit("lm_score").alias("feature"), F.col("lm_score").alias("value")))
@@ -233,18 +291,53 @@ def f14_applied(spark: SparkSession, d: str) -> DataFrame:
     return f9_decided(spark, d).filter("class <> 'NENHUMA'").join(tb.relations(spark, d, ["case_id", "relation"]).drop("extracted_at"), "rel_id").select("rel_id", "case_id", "relation", F.col("probability").alias("score"))
 
 
+def f14_learned(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates that the learned models take for relations, typed by them: the score is the probability, triggers are
+    blank and the path names the model. Of a pair (case, head, tail, relation) the best counts."""
+    f = feature_groups(spark, d)
+    got = features.applied(f, features.one_vs_rest(f)).filter("class <> 'NENHUMA'").withColumnRenamed("id", "rel_id")
+    r = tb.relations(spark, d, ["case_id", "head_start", "tail_start", "relation"])
+    rows = r.join(got, "rel_id").select("rel_id", *PAIR, F.col("class").alias("relation"), F.col("relation").alias("rule_relation"), F.round("probability", 3).alias("score"), F.lit("").alias("trigger_text"), F.lit("modelo").alias("rule_path"))
+    return lexicon.best(rows, [*PAIR, "relation"], ["-score", "rel_id"])
+
+
+#: Parts of the cases that are left out in turn.
+FOLDS = 5
+
+
+def held_out_classes(spark: SparkSession, d: str, f: DataFrame) -> DataFrame:
+    """(id, fold, label, class): the class that each candidate gets from models fitted without the cases of its fold."""
+    f = f.withColumn("fold", F.pmod(F.xxhash64("case_id"), F.lit(FOLDS)).cast("int"))
+    got = features.applied(f, features.one_vs_rest(f, FOLDS))
+    return got.join(f.select("id", "fold", "label").distinct(), "id")
+
+
 def v6_cross_validated(spark: SparkSession, d: str) -> DataFrame:
-    """Detection by weights fitted without the cases of the fold, for three folds of cases."""
-    e = cut(examples(spark, d).join(tb.relations(spark, d, ["case_id"]).select(F.col("rel_id").alias("id"), F.pmod(F.xxhash64("case_id"), F.lit(3)).alias("fold")), "id"))
-    out = None
-    for k in range(3):
-        w = features.logistic(e.filter(F.col("fold") != k), rounds=8)
-        rows = e.filter(F.col("fold") == k)
-        x = rows.select("id", "feature", "value", "label").unionByName(rows.select("id", F.lit("(bias)").alias("feature"), F.lit(1.0).alias("value"), "label").distinct())
-        z = x.join(w, "feature").groupBy("id", "label").agg(F.sum(F.col("value") * F.col("weight")).alias("z")).withColumn("fold", F.lit(k))
-        out = z if out is None else out.unionByName(z)
-    hit, true = F.col("z") > 0, F.col("label") == 1
-    return rounded(evaluate.prf(out.groupBy("fold").agg(F.count_if(hit & true).alias("tp"), F.count_if(hit & ~true).alias("fp"), F.count_if(~hit & true).alias("fn"))))
+    """Detection and typing by each variant's models, fitted without the cases of the fold; folds by hash of the case."""
+    f, out = feature_groups(spark, d), None
+    for v in VARIANTS:
+        got = held_out_classes(spark, d, of_variant(f, v))
+        hit, true = F.col("class") != "NENHUMA", F.col("label") != "NENHUMA"
+        n = got.groupBy("fold").agg(F.count_if(hit & true).alias("tp"), F.count_if(hit & ~true).alias("fp"), F.count_if(~hit & true).alias("fn"), F.count_if(hit & (F.col("class") == F.col("label"))).alias("typed")).withColumn("variant", F.lit(v))
+        out = n if out is None else out.unionByName(n)
+    return rounded(evaluate.prf(out))
+
+
+def a2_variants(spark: SparkSession, d: str) -> DataFrame:
+    """F1 of each fold by variant, side by side."""
+    return v6_cross_validated(spark, d).groupBy("fold").pivot("variant", list(VARIANTS)).agg(F.first("f1"))
+
+
+def v7_weakly_supervised(spark: SparkSession, d: str) -> DataFrame:
+    """Models fitted on the rules' own decisions (relation where the score passes the threshold), without the cases of the
+    fold, set against the judged labels: where models and rules agree, what the models recover and lose, which false
+    relations they remove and which they add."""
+    f = feature_groups(spark, d).drop("label")
+    rule = tb.relations(spark, d, ["relation", "score"]).select(F.col("rel_id").alias("id"), F.when(F.col("score") >= 1.0, F.col("relation")).otherwise("NENHUMA").alias("label"))
+    gold = candidates(spark, d).select(F.col("rel_id").alias("id"), F.array_contains("rule_path", "clause").alias("t"))
+    j = held_out_classes(spark, d, of_variant(f, "completo").join(rule, "id")).join(gold, "id")
+    x, y, t, n = F.col("label") != "NENHUMA", F.col("class") != "NENHUMA", F.col("t"), F.count_if
+    return j.agg(n(x == y).alias("agree"), n(t & ~x & y).alias("recovered"), n(t & x & ~y).alias("lost"), n(~t & x & ~y).alias("false_removed"), n(~t & ~x & y).alias("false_new"))
 
 
 def v7_diagnostics(spark: SparkSession, d: str) -> DataFrame:
@@ -335,4 +428,4 @@ SQL = {
     "v12_left": GOLD_SQL + "p AS (SELECT DISTINCT case_id, head_start, tail_start FROM r WHERE score >= -1e9) SELECT * FROM p ANTI JOIN gold USING (case_id, head_start, tail_start)",
 }
 SQL["v8_interval"] = SQL["v8_bootstrap"].replace("range(200)", "range(10000)").replace("v[6]", "v[251]").replace("v[195]", "v[9750]").replace("200.0", "10000.0")
-QUERIES = {f.__name__: f for f in (n2_association, n4_top_pmi, n5_table, n7_log_probability, n9_held_out, n10_triggers, a7_hapax, f1_between, f2_structural, f3_association, f4_ngram_features, f5_gold, f6_weak_labels, f7_weights, f9_decided, f10_stacked, f13_top_weights, f14_applied, n8_lm_score, v6_cross_validated, v7_diagnostics, v1_detection, v2_per_relation, v3_sweep, v5_per_case, v5_confusion, v8_bootstrap, v8_interval, v9_win_tie_loss, v10_who_is_right, v11_sample, v12_left)}
+QUERIES = {f.__name__: f for f in (n2_association, n4_top_pmi, n5_table, n7_log_probability, n9_held_out, n10_triggers, a7_hapax, f1_between, f2_structural, f3_association, f4_ngram_features, f5_gold, f6_weak_labels, f7_weights, f9_weights, f9_decided, f10_stacked, f11_variants, f12_cross_checked, f13_top_weights, f14_applied, f14_learned, n8_lm_score, v6_cross_validated, a2_variants, v7_diagnostics, v7_weakly_supervised, v1_detection, v2_per_relation, v3_sweep, v5_per_case, v5_confusion, v8_bootstrap, v8_interval, v9_win_tie_loss, v10_who_is_right, v11_sample, v12_left)}

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,13 +45,14 @@ def read_piped(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 
 def read_zipped(spark: SparkSession, path: str, member: str, names: list[str], batch: int = 100_000) -> DataFrame:
     """The same from a member of a zip archive (the first whose name ends with `member`), streamed: the archive isn't
-    splittable, so one task an archive reads it, in batches, never as a whole. Bad UTF-8 is replaced."""
+    splittable, so one task an archive reads it, in batches, never as a whole, from any store that Arrow can open. Bad UTF-8 is replaced."""
     schema = ", ".join(f"{n} string" for n in names)
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for p in b.column(0).to_pylist():
-                with zipfile.ZipFile(p.removeprefix("file:")) as z:
+                store, at = fs.FileSystem.from_uri(p.replace("file:/", "file:///", 1) if re.match("file:/[^/]", p) else p)
+                with store.open_input_file(at) as f, zipfile.ZipFile(f) as z:
                     name = next((n for n in z.namelist() if n.endswith(member)), None)
                     if name is None:
                         raise FileNotFoundError(f"no {member} in {p}")
@@ -69,11 +72,32 @@ def read_zipped(spark: SparkSession, path: str, member: str, names: list[str], b
     return files.mapInArrow(rows, schema)
 
 
-def filtered_terms(concepts: DataFrame, types: DataFrame, tuis: list[str], vocabularies: list[str]) -> DataFrame:
-    """English terms that aren't suppressed, of the vocabularies, joined with the types of their concepts: from concepts (CUI,
-    LAT, SAB, TTY, STR, SUPPRESS) and types (CUI, TUI). One equi-join; filters reach the scans."""
-    c = concepts.filter((F.col("LAT") == "ENG") & (F.col("SUPPRESS") == "N") & F.col("SAB").isin(vocabularies))
-    t = types.filter(F.col("TUI").isin(tuis)).select("CUI", "TUI").distinct()
+def read_frequencies(spark: SparkSession, path: str) -> DataFrame:
+    """(word, n) from a CSV with a word and a count; without the file an empty table: every word then counts as one."""
+    schema = "word string, n bigint"
+    try:
+        return read_csv(spark, path, schema).filter("word is not null")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read_model(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    """The tables of a model that sinks.write_model wrote."""
+    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+
+
+def concepts_of_types(types: DataFrame, tuis: list[str]) -> DataFrame:
+    """The distinct concepts of each type, from (CUI, TUI)."""
+    return types.filter(F.col("TUI").isin(tuis)).select("CUI", "TUI").distinct()
+
+
+def filtered_terms(concepts: DataFrame, types: DataFrame, tuis: list[str], vocabularies: str) -> DataFrame:
+    """English terms that aren't suppressed, of vocabularies that match a pattern anywhere, joined with the types of their
+    concepts: from concepts (CUI, LAT, SAB, TTY, STR, SUPPRESS) and types (CUI, TUI). One equi-join; filters reach the scans."""
+    c = concepts.filter((F.col("LAT") == "ENG") & (F.col("SUPPRESS") == "N") & F.col("SAB").rlike(vocabularies))
+    t = concepts_of_types(types, tuis)
     return c.join(t, "CUI").select(F.col("CUI").alias("cui"), F.col("TUI").alias("tui"), F.lower("STR").alias("term_norm"), F.col("STR").alias("term_pref"), F.col("SAB").alias("vocabulary"), F.col("TTY").alias("tty"))
 
 

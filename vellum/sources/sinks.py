@@ -20,16 +20,36 @@ def write_csv(df: DataFrame, path: str, columns: list[str], force: bool = False)
     out.write.mode("overwrite" if force else "errorifexists").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def write_terms(terms: DataFrame, path: str, buckets: int = 64) -> int:
-    """The dictionary as parquet, clustered and sorted by term, so that lookups read few pages; read again and counted."""
-    terms.repartitionByRange(buckets, "term_norm").sortWithinPartitions("term_norm", "priority").write.mode("overwrite").parquet(path)
+def write_terms(terms: DataFrame, path: str, buckets: int = 64, force: bool = False) -> int:
+    """The dictionary as parquet, clustered and sorted by term, so that lookups read few pages; read again, its rows are
+    counted against the input and there must be two types or more. An existing folder is an error unless forced."""
+    terms.repartitionByRange(buckets, "term_norm").sortWithinPartitions("term_norm", "priority").write.mode("overwrite" if force else "errorifexists").parquet(path)
     back = terms.sparkSession.read.parquet(path)
     n, tuis = back.agg(F.count("*"), F.countDistinct("tui")).first()
-    if n == 0 or tuis < 2:
-        raise ValueError(f"{path} holds {n} terms of {tuis} types")
+    want = terms.count()
+    if n != want or tuis < 2:
+        raise ValueError(f"{path} holds {n} terms of {tuis} types, {want} were given")
     return n
 
 
+def write_model(tables: dict[str, DataFrame], path: str, force: bool = False) -> None:
+    """The tables of a model (weights, counts, ...), a folder each; read again, each must hold the same rows."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, t in tables.items():
+        t.write.mode("overwrite" if force else "errorifexists").parquet(f"{path}/{name}")
+    for name, t in tables.items():
+        back = spark.read.parquet(f"{path}/{name}").select(*t.columns)
+        if not (back.exceptAll(t).isEmpty() and t.exceptAll(back).isEmpty()):
+            raise ValueError(f"{path}/{name} doesn't hold what was written")
+
+
+def bars(counts: DataFrame, name: str, n: str, width: int = 40, most: int = 50) -> str:
+    """A report of counters on the console: the `most` largest, with bars."""
+    rows = counts.orderBy(F.desc(n), name).limit(most).collect()
+    top = max((r[n] for r in rows), default=1)
+    return "\n".join(f"{str(r[name])[:30]:<30} {r[n]:>10} {'#' * max(1, round(width * r[n] / top))}" for r in rows)
+
+
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(case_id, graph): each case's graph as JSON, nodes and edges in a fixed order, so equal graphs are equal texts."""
     n = nodes.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("node", *[c for c in nodes.columns if c not in ("case_id", "node")]))).alias("nodes"))
