@@ -161,6 +161,11 @@ def longest(hits: DataFrame, key: str) -> DataFrame:
     return picked.select(*[F.col(key) if c == key else (-F.col("h.m")).alias("n") if c == "n" else F.col(f"h.{c}").alias(c) for c in hits.columns])
 
 
+def flagged(terms: DataFrame, stop: DataFrame) -> DataFrame:
+    """terms with is_stop: whether the term is listed in stop (term_norm)."""
+    return terms.join(stop.select("term_norm").distinct().withColumn("__s", F.lit(True)), "term_norm", "left").withColumn("is_stop", F.coalesce("__s", F.lit(False))).drop("__s")
+
+
 def statistics(terms: DataFrame, by: str) -> DataFrame:
     """Concepts and terms for each value of `by`, and how many terms have several words or are stop terms."""
     return terms.groupBy(by).agg(

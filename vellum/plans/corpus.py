@@ -59,6 +59,11 @@ def c8_overridden(spark: SparkSession, d: str) -> DataFrame:
     return corpus.override(tb.cases(spark, d, ["age", "gender"]), o, "case_id").select("case_id", "age", "gender")
 
 
+def c9_sorted(spark: SparkSession, d: str) -> DataFrame:
+    """The clean cases in the order of their ids."""
+    return tb.cases(spark, d, ["article_id", "age", "gender"]).select("case_id", "article_id", "age", "gender").orderBy("case_id")
+
+
 def c10_audit(spark: SparkSession, d: str) -> DataFrame:
     """Where ages and genders differ from upstream, by method."""
     c = tb.cases(spark, d, ["age", "age_upstream", "gender", "gender_upstream", "age_method", "gender_method"])
@@ -99,6 +104,29 @@ def g6_stop_terms(spark: SparkSession, d: str) -> DataFrame:
     return tb.gazetteer(spark, d).filter("is_stopterm").select("term_norm").distinct()
 
 
+def g6_flagged(spark: SparkSession, d: str) -> DataFrame:
+    """Terms with the stop flag computed from a list of stop terms, whatever the delivered flag of the row says."""
+    listed = table(spark, d, "gazetteer").filter("is_stopterm").select(F.col("term_norm").alias("stop")).distinct()
+    t = tb.gazetteer(spark, d).select("term_norm", "cui").distinct()
+    return lexicon.flagged(t, listed.withColumnRenamed("stop", "term_norm"))
+
+
+#: Terms that a sound dictionary finds: as they stand, or in another order of words.
+PROBES = ["fever", "Acute  Pancreatitis", "chronic fever", "rulsirema", "zolsirum", "malpyroma chronic", "treatment", "no such term"]
+
+
+def g8_probes(spark: SparkSession, d: str) -> DataFrame:
+    """How the dictionary finds probe terms: exactly, by their words in any order, or not; 8 of its own terms turned around are
+    probed too."""
+    own = tb.gazetteer(spark, d).filter("n_tokens = 2").select("term_norm").distinct().orderBy("term_norm").limit(8)
+    turned = own.select(F.array_join(F.reverse(F.split("term_norm", " ")), " ").alias("probe"))
+    probes = spark.createDataFrame([(p,) for p in PROBES], "probe string").unionByName(turned).withColumn("norm", ft.normalize("probe")).withColumn("sk", ft.sort_key("norm"))
+    g = tb.gazetteer(spark, d)
+    exact, loose = g.select(F.col("term_norm").alias("norm")).distinct().withColumn("x", F.lit(True)), g.select(F.col("sort_key").alias("sk")).distinct().withColumn("y", F.lit(True))
+    found = F.when(F.col("x"), "exact").when(F.col("y"), "words").otherwise("none")
+    return probes.join(exact, "norm", "left").join(loose, "sk", "left").select("probe", found.alias("found")).distinct()
+
+
 def g7_statistics(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.statistics(kept(spark, d), "tui")
 
@@ -219,6 +247,19 @@ def t4_word_classes(spark: SparkSession, d: str) -> DataFrame:
     return x3_words(spark, d).select("word", "n", relate.word_class(F.col("word"), F.lit(False)).alias("word_class"))
 
 
+def t5_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Word classes with their words and occurrences, and how many of the occurrences the lists cover; the rest is guessed."""
+    listed = F.col("word").isin(sorted({w for _, ws in relate.WORD_CLASSES for w in ws.split()}))
+    return t4_word_classes(spark, d).groupBy("word_class").agg(F.count("*").alias("words"), F.sum("n").alias("occurrences"), F.sum(F.when(listed, F.col("n")).otherwise(0)).alias("listed"))
+
+
+def a8_measurements(spark: SparkSession, d: str) -> DataFrame:
+    """Of each concept with measurements: how many, and the least, middle and largest value, by unit."""
+    value = F.expr("try_cast(replace(value, ',', '.') as double)")
+    m = m7_linked(spark, d).filter("linked_cui is not null and value is not null").withColumn("v", value)
+    return m.groupBy("linked_cui", "unit_norm").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.percentile("v", F.lit(0.5)).alias("middle"), F.max("v").alias("largest"))
+
+
 def h8_measurements(spark: SparkSession, d: str) -> DataFrame:
     """Measurement nodes with the concept each hangs on; those found only by the wide window are of lower confidence."""
     m = m7_linked(spark, d)
@@ -256,8 +297,84 @@ TOKENS_SQL = f"""WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '{TOK
     SELECT doc_id, count(*) n_tokens, sum(e - length(x))::bigint sum_start, max(e)::int last_end FROM o WHERE regexp_matches(x, '^[A-Za-z0-9]') GROUP BY doc_id"""
 CLASSES = {w: c for c, ws in reversed(relate.WORD_CLASSES) for w in ws.split()}
 CLASS_SQL = "CASE WHEN regexp_matches(word, '^[0-9]') THEN 'NUM' " + " ".join(f"WHEN word IN ({', '.join(repr(w) for w in sorted(x for x, y in CLASSES.items() if y == c))}) THEN '{c}'" for c in sorted(set(CLASSES.values()))) + " WHEN suffix(word, 'ing') THEN 'NOUN' " + " ".join(f"WHEN suffix(word, '{s}') AND length(word) > {len(s) + 1} THEN '{c}'" for s, c in relate.SUFFIXES) + " ELSE 'NOUN' END"
+CITED = r"""(?i:\[\s*(?:Figure|Fig|Table)[^\]]{0,40}\]|\(\s*(?:Figure|Fig|Table)s?\.?\s*[\dA-Za-z\-,\s]{0,20}\)|\b(?:Figure|Fig|Table)s?\.\s*\d+[a-z]?)"""
+PIECES_SQL = f"'{CITED}|{TOKEN_SQL}|[^A-Za-z0-9\\[(]+|[\\[(]'"
+WINDOWS_SQL = tb.sql("c", "g") + f""", p AS (SELECT case_id, case_text, unnest(regexp_extract_all(case_text, {PIECES_SQL})) x, generate_subscripts(regexp_extract_all(case_text, {PIECES_SQL}), 1) k FROM c),
+    o AS (SELECT *, sum(length(x)) OVER (PARTITION BY case_id ORDER BY k) e FROM p),
+    w AS (SELECT case_id, list(x ORDER BY k) w, list((e - length(x))::int ORDER BY k) s, list(e::int ORDER BY k) e FROM o WHERE regexp_full_match(x, '{TOKEN_SQL}') GROUP BY case_id),
+    i AS (SELECT case_id, w, s, e, unnest(range(1, len(w) + 1)) i FROM w), v AS (SELECT *, unnest(range(1, 7)) n FROM i),
+    win AS (SELECT case_id, i - 1 i, n, s[i] start, e[i + n - 1] "end", array_to_string(w[i:i + n - 1], ' ') joined FROM v WHERE i + n - 1 <= len(w))"""
+SORTED_SQL = "array_to_string(list_sort(regexp_extract_all({0}, '[a-z0-9]+')), ' ')"
+ENTITY_SQL = "WITH RECURSIVE" + WINDOWS_SQL[4:] + f""", gz AS (SELECT * FROM g WHERE retired_at IS NULL),
+    ex AS (SELECT * FROM gz WHERE term_norm IS NOT NULL QUALIFY row_number() OVER (PARTITION BY term_norm ORDER BY coalesce(priority, 2147483647), cui IS NULL, cui, coalesce(term_pref, ''), coalesce(vocabulary, ''), coalesce(tty, '')) = 1),
+    lo AS (SELECT * FROM gz WHERE sort_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sort_key ORDER BY coalesce(priority, 2147483647), cui IS NULL, cui, coalesce(term_pref, ''), coalesce(vocabulary, ''), coalesce(tty, '')) = 1),
+    nw AS (SELECT *, {NORM_SQL.format('joined')} norm FROM win), kw AS (SELECT *, CASE WHEN n > 1 THEN {SORTED_SQL.format('norm')} END sk FROM nw),
+    hit AS (SELECT case_id, i, kw.n, start, "end", norm, CASE WHEN ex.term_norm IS NOT NULL THEN ex.cui ELSE lo.cui END cui, CASE WHEN ex.term_norm IS NOT NULL THEN ex.tui ELSE lo.tui END tui,
+        CASE WHEN ex.term_norm IS NOT NULL THEN ex.term_pref ELSE lo.term_pref END term_pref, CASE WHEN ex.term_norm IS NOT NULL THEN ex.is_stopterm ELSE lo.is_stopterm END is_stopterm
+        FROM kw LEFT JOIN ex ON ex.term_norm = norm LEFT JOIN lo ON lo.sort_key = sk WHERE ex.term_norm IS NOT NULL OR lo.sort_key IS NOT NULL),
+    ty(tui, entity_type) AS (VALUES {', '.join(f"('{t}', '{e}')" for e, ts in tb.TYPES.items() for t in ts)}),
+    ok AS (SELECT h.*, substring(case_text, start + 1, "end" - start) surface, entity_type FROM hit h JOIN c USING (case_id) JOIN ty USING (tui)
+        WHERE NOT coalesce(n = 1 AND upper(term_pref) = term_pref AND regexp_matches(term_pref, '[A-Z]') AND length(term_pref) <= 4 AND upper(substring(case_text, start + 1, "end" - start)) <> substring(case_text, start + 1, "end" - start), false)
+            AND NOT coalesce(cui IN ('{"', '".join(EXCLUDED_CUIS)}'), false) AND NOT coalesce(is_stopterm, false) AND norm NOT IN ('{"', '".join(EXCLUDED_TERMS)}')),
+    top AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY case_id, i ORDER BY n DESC) = 1),
+    nx AS (SELECT case_id, i, n, lead_i FROM (SELECT t.case_id, t.i, t.n, (SELECT min(u.i) FROM top u WHERE u.case_id = t.case_id AND u.i >= t.i + t.n) lead_i FROM top t)),
+    walk AS (SELECT case_id, min(i) i FROM top GROUP BY case_id UNION ALL SELECT w.case_id, nx.lead_i FROM walk w JOIN nx ON nx.case_id = w.case_id AND nx.i = w.i WHERE nx.lead_i IS NOT NULL),
+    ent AS (SELECT top.* FROM walk JOIN top USING (case_id, i))"""
+UNITS_SQL = "map {" + ", ".join(f"'{u}': '{k}'" for u, k in spans.CATEGORY.items()) + "}"
+_N, _U = "[0-9]+(?:[.,][0-9]+)?", "(?:[A-Za-zµ]+(?:/[A-Za-z]+)?|°[A-Za-z]+|%)"
+_LEAD = "(?i:" + "|".join(sorted(spans.LEADING_UNITS, key=len, reverse=True)) + ")"
+SCAN_SQL = f"'{_N}\\s*[-–]\\s*{_N}\\s*{_U}|{_N}[\\s-]{{0,2}}{_U}|\\b{_LEAD}\\s+[0-9]+\\b|[A-Za-z]+|[0-9]|[^A-Za-z0-9]+'"
+#: Measurements by pieces of the text: RE2 can't look ahead, so the unit is told from the letters after the number.
+MEASURES = f""", pl AS (SELECT case_id, case_text, array_to_string(list_transform(regexp_extract_all(case_text, {PIECES_SQL}), lambda p: CASE WHEN regexp_full_match(p, '{CITED}') THEN repeat(' ', length(p)) ELSE p END), '') plain FROM c WHERE case_text IS NOT NULL),
+    mp AS (SELECT case_id, case_text, unnest(regexp_extract_all(plain, {SCAN_SQL})) x, generate_subscripts(regexp_extract_all(plain, {SCAN_SQL}), 1) k FROM pl),
+    mo AS (SELECT *, (sum(length(x)) OVER (PARTITION BY case_id ORDER BY k) - length(x))::int start, lead(x) OVER (PARTITION BY case_id ORDER BY k) nxt FROM mp),
+    mr AS (SELECT *, regexp_full_match(x, '{_LEAD}\\s+[0-9]+') AS isl, regexp_full_match(x, '{_N}\\s*[-–]\\s*{_N}\\s*{_U}') AS is_range, regexp_extract(x, '{_U}$') run FROM mo WHERE regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-zµ°%]')),
+    mu AS (SELECT *, CASE WHEN isl THEN regexp_extract(x, '^[A-Za-z]+') WHEN {UNITS_SQL}[lower(run)] IS NOT NULL THEN run WHEN {UNITS_SQL}[lower(string_split(run, '/')[1])] IS NOT NULL THEN string_split(run, '/')[1] END unit FROM mr),
+    me AS (SELECT *, CASE WHEN isl OR unit = run THEN length(x) ELSE length(x) - length(run) + length(unit) END w FROM mu WHERE unit IS NOT NULL
+        AND NOT (NOT isl AND NOT is_range AND lower(unit) IN ('{"', '".join(spans.AGE_UNITS)}') AND unit = run AND regexp_matches(nxt || ' ', '^-?\\s?$|(?i)^-?\\s?old\\b') AND regexp_matches(substring(case_text, start + length(x) + 1, 8), '(?i)^-?\\s?old\\b'))),
+    ms AS (SELECT case_id, start, start + w::int "end", substring(case_text, start + 1, w) surface, is_range, CASE WHEN is_range THEN NULL WHEN isl THEN regexp_extract(x, '[0-9]+$') ELSE regexp_extract(x, '^{_N}') END AS "value",
+        CASE WHEN is_range THEN regexp_extract(x, '^{_N}') END range_low, CASE WHEN is_range THEN regexp_extract(x, '[-–]\\s*({_N})', 1) END range_high, unit, lower(unit) unit_norm, {UNITS_SQL}[lower(unit)] unit_category,
+        len(regexp_extract_all(left(case_text, start), '[.!?]\\s+'))::int sent_no FROM me)"""
+LINKED = """, es AS (SELECT ent.*, len(regexp_extract_all(left(case_text, start), '[.!?]\\s+')) sn FROM ent JOIN c USING (case_id)),
+    pr AS (SELECT m.case_id, m.start, CASE WHEN e.sn = m.sent_no AND e."end" <= m.start THEN 1 WHEN e.sn = m.sent_no AND e.start - m."end" BETWEEN 0 AND 25 THEN 2 WHEN m.start - e."end" BETWEEN 0 AND 150 THEN 3 END tier, e.start es, e."end" ee, e.surface esf, e.entity_type et, e.cui ec FROM ms m JOIN es e USING (case_id)),
+    bs AS (SELECT * FROM pr WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY case_id, start ORDER BY tier, CASE WHEN tier = 2 THEN es ELSE -ee END) = 1),
+    ml AS (SELECT ms.*, es linked_start, ee linked_end, esf linked_surface, et linked_type, ec linked_cui, CASE tier WHEN 1 THEN 'same_sentence' WHEN 2 THEN 'same_sentence_forward' WHEN 3 THEN 'window_fallback' ELSE 'none' END link_method FROM ms LEFT JOIN bs USING (case_id, start))"""
+LINKED_SQL = ENTITY_SQL + MEASURES + LINKED
+OWNED = ", hm AS (SELECT case_id, 'measurement:' || start || ':' || \"end\" node, surface, unit_category, 'concept:' || linked_cui AS owner, link_method = 'window_fallback' lower_confidence FROM ml)"
+BOIL_SQL = f"regexp_replace(regexp_replace(coalesce({{0}}, ''), '(?is){corpus.BOILERPLATE}', ''), '(?is){corpus.BOILERPLATE}', '')"
+_NUMBERS = ft.number_words()
+_EVERY = "|".join(sorted(_NUMBERS, key=len, reverse=True))
+NUMBERS_SQL = "map {" + ", ".join(f"'{w}': '{v}'" for w, v in _NUMBERS.items()) + "}"
+DIGITS_SQL = f"array_to_string(list_transform(regexp_extract_all(left(@, 700), '(?i)(\\b(?:{_EVERY})\\b|[^A-Za-z]+|[A-Za-z]+)'), lambda p: coalesce({NUMBERS_SQL}[lower(p)], p)), '')"
+_year = lambda x: "coalesce(" + ", ".join(f"nullif(regexp_extract({x}, '(?i){corpus.YEARS}', {k}), '')" for k in (1, 2, 3)) + ")"
+_part = lambda a, b: f"coalesce(nullif(regexp_extract(op, '(?i){corpus.PART_YEARS}', {a}), ''), nullif(regexp_extract(op, '(?i){corpus.PART_YEARS}', {b}), ''))"
+_plain = lambda x: f"CASE WHEN {x} = floor({x}) THEN floor({x})::bigint::varchar ELSE {x}::varchar END"
+AGES_SQL = tb.sql("c") + f""", b AS (SELECT case_id, {BOIL_SQL.format('case_text')} x FROM c), z AS (SELECT case_id, x, left({DIGITS_SQL.replace('@', 'x')}, 700) dg FROM b), q AS (SELECT case_id, x, dg, left(dg, 70) op FROM z),
+    y AS (SELECT *, {_year('op')}::double ye, {_year('dg')}::double wi, {_part(1, 3)}::double pn, lower({_part(2, 4)}) pu FROM q),
+    a AS (SELECT case_id, x, CASE WHEN regexp_matches(op, '(?i)\\bnewborns?\\b|\\bneonat') THEN ['0', 'newborn-keyword'] WHEN regexp_matches(op, '(?i){corpus.AGE_RANGE}') THEN ['', 'range-detected']
+        WHEN ye IS NOT NULL THEN [{_plain('ye')}, 'opening-year-old'] WHEN pn IS NOT NULL THEN [round_even(pn * CASE pu WHEN 'day' THEN 1.0::double WHEN 'week' THEN 7.0 ELSE 30.44 END / 365.25, 2)::varchar, 'opening-' || pu || '-old']
+        WHEN regexp_matches(op, '(?i)\\bbaby\\s+(?:boy|girl)\\b') THEN ['0', 'baby-keyword'] WHEN wi IS NOT NULL THEN [{_plain('wi')}, 'fallback-anywhere'] ELSE ['', 'not-found'] END r FROM y),
+    gd AS ({GENDER_SQL.replace("WITH ", "WITH ", 1)})
+    SELECT a.case_id, r[1] found_age, r[2] found_age_method, found_gender, found_gender_method FROM a JOIN gd USING (case_id)"""
 SQL = {
     "x1_tokens": TOKENS_SQL,
+    "c3_without_boilerplate": f"SELECT doc_id, length({BOIL_SQL.format('text')})::int n_kept FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL",
+    "c4_digits": tb.sql("c") + f"SELECT case_id, (length({DIGITS_SQL.replace('@', 'case_text')}) + greatest(length(case_text) - 700, 0))::int n_chars FROM c",
+    "c5_demographics": AGES_SQL,
+    "c9_sorted": tb.sql("c") + "SELECT case_id, article_id, age, gender FROM c",
+    "g6_flagged": tb.sql("g") + "SELECT DISTINCT term_norm, cui, term_norm IN (SELECT term_norm FROM gazetteer WHERE is_stopterm) AS is_stop FROM g",
+    "g8_probes": tb.sql("g") + f""", p AS (SELECT unnest({PROBES}) probe UNION ALL SELECT array_to_string(list_reverse(string_split(term_norm, ' ')), ' ') FROM (SELECT DISTINCT term_norm FROM g WHERE n_tokens = 2 ORDER BY 1 LIMIT 8)), n AS (SELECT probe, {NORM_SQL.format('probe')} norm FROM p)
+        SELECT DISTINCT probe, CASE WHEN norm IN (SELECT term_norm FROM g) THEN 'exact' WHEN {SORTED_SQL.format('norm')} IN (SELECT sort_key FROM g) THEN 'words' ELSE 'none' END found FROM n""",
+    "e1_windows": WINDOWS_SQL + "SELECT n::int n, count(*) windows, count(DISTINCT joined) distinct_windows FROM win GROUP BY n",
+    "e5_entities": ENTITY_SQL + 'SELECT case_id, start, "end", surface, norm, cui, entity_type, n::int n FROM ent',
+    "e7_surfaces": ENTITY_SQL + ", k AS (SELECT entity_type, lower(surface) surface, count(*) n FROM ent GROUP BY ALL) SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY entity_type ORDER BY n DESC, surface) <= 15",
+    "m1_measurements": tb.sql("c") + MEASURES + " SELECT * FROM ms",
+    "m7_linked": LINKED_SQL + " SELECT * FROM ml",
+    "m9_counts": LINKED_SQL + " SELECT unit_category, link_method, count(*) n FROM ml GROUP BY ALL",
+    "a8_measurements": LINKED_SQL + """ SELECT linked_cui, unit_norm, count(*) n, min(v) least, quantile_cont(v, 0.5) middle, max(v) largest FROM (SELECT *, try_cast(replace("value", ',', '.') AS double) v FROM ml WHERE linked_cui IS NOT NULL AND "value" IS NOT NULL) GROUP BY ALL""",
+    "h8_measurements": LINKED_SQL + OWNED + " SELECT * FROM hm",
+    "h14_owners": LINKED_SQL + OWNED + " SELECT case_id, owner, count(*) n, array_to_string(list_sort(list(DISTINCT node))[1:10], ' ') shown FROM hm WHERE owner IS NOT NULL GROUP BY ALL",
+    "t5_coverage": tb.sql("c") + f", w AS (SELECT unnest(regexp_extract_all(lower(case_text), '{WORD_SQL}')) word FROM c), k AS (SELECT word, count(*) n, {CLASS_SQL} word_class FROM w GROUP BY word) SELECT word_class, count(*) words, sum(n)::bigint occurrences, coalesce(sum(n) FILTER (WHERE word IN ({', '.join(repr(w) for w in sorted(CLASSES))})), 0)::bigint listed FROM k GROUP BY word_class",
     "c1_dropped": tb.sql("c") + f"SELECT case_id, age, gender FROM c WHERE case_id NOT IN {tuple(DROPPED)}",
     "c2_merged": MERGED_SQL,
     "c7_gender": GENDER_SQL,
@@ -279,4 +396,4 @@ SQL = {
     "t4_word_classes": tb.sql("c") + f", w AS (SELECT unnest(regexp_extract_all(lower(case_text), '{WORD_SQL}')) word FROM c) SELECT word, count(*) n, {CLASS_SQL} word_class FROM w GROUP BY word",
     "t3_clauses": tb.sql("r") + "SELECT token_gap, count(*) FILTER (WHERE same_clause) same, count(*) n FROM r GROUP BY ALL",
 }
-QUERIES = {f.__name__: f for f in (c1_dropped, c2_merged, c3_without_boilerplate, c4_digits, c5_demographics, c7_gender, c8_overridden, c10_audit, c11_span_faults, g1_normalized, g3_priority, g4_kept, g5_best, g6_stop_terms, g7_statistics, g7_lengths, x1_tokens, x3_words, x4_ngrams, e1_windows, e5_entities, e7_surfaces, m1_measurements, m7_linked, m9_counts, r15_relations, r16_counts, r16_explained, r17_ablations, t3_clauses, t4_word_classes, h8_measurements, h14_owners)}
+QUERIES = {f.__name__: f for f in (c1_dropped, c2_merged, c3_without_boilerplate, c4_digits, c5_demographics, c7_gender, c8_overridden, c9_sorted, c10_audit, c11_span_faults, g1_normalized, g3_priority, g4_kept, g5_best, g6_stop_terms, g6_flagged, g8_probes, g7_statistics, g7_lengths, x1_tokens, x3_words, x4_ngrams, e1_windows, e5_entities, e7_surfaces, m1_measurements, m7_linked, m9_counts, r15_relations, r16_counts, r16_explained, r17_ablations, t3_clauses, t4_word_classes, t5_coverage, a8_measurements, h8_measurements, h14_owners)}

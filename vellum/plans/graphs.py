@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, ontology
+from ..operators import graph, lexicon, ontology
 from ..operators.rank import earliest
 from ..operators.references import reference_key
 from ..session import table
@@ -79,20 +79,53 @@ def h4_concepts(spark: SparkSession, d: str) -> DataFrame:
     return nodes(spark, d)
 
 
+def h4_details(spark: SparkSession, d: str) -> DataFrame:
+    """What the dictionary knows of each concept node: its semantic types and vocabularies, the label (a preferred term where
+    there is one, else the first term), and the spans of all its mentions."""
+    g = tb.gazetteer(spark, d)
+    known = g.groupBy("cui").agg(
+        F.concat_ws(",", F.sort_array(F.collect_set("tui"))).alias("tuis"), F.concat_ws(",", F.sort_array(F.collect_set("vocabulary"))).alias("vocabularies"),
+        F.min(F.struct((F.coalesce(F.col("tty"), F.lit("")) != "PT").alias("other"), "term_norm"))["term_norm"].alias("label"),
+    )
+    spans = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("start", "end"))), lambda s: F.concat_ws("-", s["start"], s["end"])), " ")
+    return tb.mentions(spark, d).groupBy("case_id", "cui").agg(spans.alias("evidence")).join(known, "cui", "left").select("case_id", "cui", "label", "tuis", "vocabularies", "evidence")
+
+
+def h4_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    """One node an occurrence: the other mode of the graph."""
+    return tb.mentions(spark, d).select("case_id", "cui", "start", "end", graph.node_id("mention", "start", "end", "cui").alias("node"), "surface").distinct()
+
+
 def h5_mentions(spark: SparkSession, d: str) -> DataFrame:
     m = tb.mentions(spark, d).groupBy("case_id", "cui", "entity_type")
-    return m.agg(F.count("*").alias("n"), F.concat_ws("|", F.sort_array(F.collect_set("surface"))).alias("surfaces"))
+    spans = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("start", "end"))), lambda s: F.concat_ws("-", s["start"], s["end"])), " ")
+    return m.agg(F.count("*").alias("n"), F.concat_ws("|", F.sort_array(F.collect_set("surface"))).alias("surfaces"), spans.alias("spans"))
 
 
 def h6_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph_edges(spark, d)
 
 
+def h6_triggers(spark: SparkSession, d: str) -> DataFrame:
+    """The trigger of the best-scored relation behind each edge, the first of equals."""
+    r = tb.relations(spark, d, ["case_id", "relation", "head_kind", "head_cui", "tail_cui", "score", "trigger_text", "trigger_category"])
+    r = r.filter("tail_cui is not null and (head_kind = 'Person' or head_cui is not null)").withColumn("head", F.when(F.col("head_kind") == "Person", "person").otherwise(F.col("head_cui")))
+    return lexicon.best(r, ["case_id", "relation", "head", "tail_cui"], ["-score", "rel_id"]).select("case_id", "relation", "head", F.col("tail_cui").alias("tail"), "trigger_text", "trigger_category")
+
+
+def h6_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """Relations that give no edge, by case and reason: an end without a concept, or both ends the same."""
+    r = tb.relations(spark, d, ["case_id", "head_kind", "head_cui", "tail_cui"])
+    why = F.when(F.col("tail_cui").isNull(), "tail without concept").when((F.col("head_kind") != "Person") & F.col("head_cui").isNull(), "head without concept").when((F.col("head_kind") != "Person") & (F.col("head_cui") == F.col("tail_cui")), "self loop")
+    return r.withColumn("warning", why).filter("warning is not null").groupBy("case_id", "warning").agg(F.count("*").alias("n"))
+
+
 def h7_ontology_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Ontology edges between concepts of one case."""
+    """Ontology edges between concepts of one case, with ids of their own and their source."""
     n = nodes(spark, d)
     a, b = n.select("case_id", F.col("cui").alias("head_cui")), n.select("case_id", F.col("cui").alias("tail_cui"))
-    return edges(spark, d).join(a, "head_cui").join(b, ["case_id", "tail_cui"]).select("case_id", "head_cui", "tail_cui", "relation")
+    e = edges(spark, d).join(a, "head_cui").join(b, ["case_id", "tail_cui"])
+    return e.select("case_id", "head_cui", "tail_cui", "relation", graph.node_id("edge", "relation", "head_cui", "tail_cui", F.lit("umls")).alias("edge"), F.coalesce("sab", F.lit("")).alias("evidence_source"))
 
 
 def h9_demographics(spark: SparkSession, d: str) -> DataFrame:
@@ -109,6 +142,15 @@ def h11_filtered(spark: SparkSession, d: str) -> DataFrame:
     return graph.filtered(all_nodes(spark, d), graph_edges(spark, d), 8)[1].select("case_id", "relation", "source", "target", "n")
 
 
+def h11_hidden(spark: SparkSession, d: str) -> DataFrame:
+    """Of every case with more than 8 nodes, how many the limit hides when only symptoms, diagnoses and treatments are asked for
+    beside the patient."""
+    shown = F.col("context") | F.arrays_overlap(F.split("types", ","), F.array(F.lit("Symptom"), F.lit("Diagnosis"), F.lit("Treatment")))
+    people = all_nodes(spark, d).filter("context").withColumn("types", F.lit(""))
+    every = people.unionByName(nodes(spark, d).select("case_id", "node", F.lit(False).alias("context"), "n_mentions", "label", "types")).filter(shown)
+    return every.groupBy("case_id").agg(F.count("*").alias("n")).filter("n > 8").select("case_id", F.lit(8).cast("bigint").alias("shown"), (F.col("n") - 8).alias("hidden"))
+
+
 def h13_types(spark: SparkSession, d: str) -> DataFrame:
     """IS_A edges from concepts to their types."""
     return tb.mentions(spark, d).select("case_id", graph.node_id("concept", "cui").alias("source"), graph.node_id("type", "entity_type").alias("target")).distinct()
@@ -189,6 +231,26 @@ def a8_demographics(spark: SparkSession, d: str) -> DataFrame:
     return tb.cases(spark, d, ["age", "gender"]).select(F.coalesce("gender", F.lit("?")).alias("gender"), F.coalesce(decade, F.lit(-1)).alias("decade")).cube("gender", "decade").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
 
 
+def a6_relations(spark: SparkSession, d: str) -> DataFrame:
+    """The table of negated relations between concepts, with numbers as numbers (null where there are none)."""
+    r = tb.relations(spark, d, ["case_id", "relation", "assertion_status", "head_kind", "head_start", "tail_start", "trigger_start", "score"])
+    return r.filter("assertion_status = 'negated' and head_kind <> 'Person'").select("rel_id", "case_id", "relation", F.expr("try_cast(head_start as bigint)").alias("head_start"), F.expr("try_cast(tail_start as bigint)").alias("tail_start"), F.expr("try_cast(trigger_start as bigint)").alias("trigger_start"), F.round("score", 3).alias("score"))
+
+
+def a8_assertions(spark: SparkSession, d: str) -> DataFrame:
+    """Concepts with how often they are affirmed and negated as tails."""
+    r = tb.relations(spark, d, ["tail_cui", "assertion_status"]).filter("tail_cui is not null")
+    return r.groupBy("tail_cui").agg(F.count_if(F.col("assertion_status") == "affirmed").alias("affirmed"), F.count_if(F.col("assertion_status") == "negated").alias("negated"))
+
+
+def a8_text_and_ontology(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of concepts related in texts, in the ontology or in both, by relation."""
+    r = tb.relations(spark, d, ["relation", "head_kind", "head_cui", "tail_cui"]).filter("head_kind <> 'Person' and head_cui is not null and tail_cui is not null").select("head_cui", "tail_cui", "relation").distinct().withColumn("t", F.lit(1))
+    o = edges(spark, d).select("head_cui", "tail_cui", "relation").withColumn("o", F.lit(1))
+    j = r.join(o, ["head_cui", "tail_cui", "relation"], "full")
+    return j.groupBy("relation").agg(F.count_if(F.col("t").isNotNull() & F.col("o").isNull()).alias("text_only"), F.count_if(F.col("t").isNull()).alias("ontology_only"), F.count_if(F.col("t").isNotNull() & F.col("o").isNotNull()).alias("both"))
+
+
 def a8_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     """Share of mentions by vocabulary of the concept."""
     v = tb.gazetteer(spark, d).select("cui", "vocabulary").distinct()
@@ -222,9 +284,22 @@ SQL = {
     "h1_ids": tb.sql("g") + f"SELECT DISTINCT term_norm, 'term:' || {ENC.format('term_norm')} node FROM g",
     "h2_hashes": tb.sql("c") + "SELECT case_id, sha256(case_text) text_sha256 FROM c",
     "h4_concepts": NODES_SQL + "SELECT * FROM n",
-    "h5_mentions": tb.sql("r", "o") + "SELECT case_id, cui, entity_type, count(*) n, string_agg(DISTINCT surface, '|' ORDER BY surface) surfaces FROM o GROUP BY ALL",
+    "h4_details": tb.sql("r", "o", "g") + """, k AS (SELECT cui, string_agg(DISTINCT tui, ',' ORDER BY tui) tuis, string_agg(DISTINCT vocabulary, ',' ORDER BY vocabulary) vocabularies FROM g GROUP BY cui),
+        l AS (SELECT cui, term_norm label FROM g QUALIFY row_number() OVER (PARTITION BY cui ORDER BY coalesce(tty, '') <> 'PT', term_norm NULLS FIRST) = 1), q AS (SELECT DISTINCT case_id, cui, start, "end" FROM o)
+        SELECT case_id, q.cui, any_value(label) label, any_value(tuis) tuis, any_value(vocabularies) vocabularies, string_agg(start || '-' || "end", ' ' ORDER BY start, "end") evidence FROM q LEFT JOIN k USING (cui) LEFT JOIN l USING (cui) GROUP BY case_id, q.cui""",
+    "h4_occurrences": tb.sql("r", "o") + """SELECT DISTINCT case_id, cui, start, "end", 'mention:' || start || ':' || "end" || ':' || cui node, surface FROM o""",
+    "h5_mentions": tb.sql("r", "o") + """, q AS (SELECT DISTINCT case_id, cui, entity_type, start, "end" FROM o), z AS (SELECT case_id, cui, entity_type, string_agg(start || '-' || "end", ' ' ORDER BY start, "end") spans FROM q GROUP BY ALL)
+        SELECT case_id, cui, entity_type, count(*) n, string_agg(DISTINCT surface, '|' ORDER BY surface) surfaces, any_value(spans) spans FROM o JOIN z USING (case_id, cui, entity_type) GROUP BY ALL""",
+    "h6_triggers": tb.sql("r") + """SELECT case_id, relation, CASE WHEN head_kind = 'Person' THEN 'person' ELSE head_cui END head, tail_cui tail, trigger_text, trigger_category FROM r WHERE tail_cui IS NOT NULL AND (head_kind = 'Person' OR head_cui IS NOT NULL)
+        QUALIFY row_number() OVER (PARTITION BY case_id, relation, CASE WHEN head_kind = 'Person' THEN 'person' ELSE head_cui END, tail_cui ORDER BY score DESC, rel_id) = 1""",
+    "h6_warnings": tb.sql("r") + """SELECT case_id, CASE WHEN tail_cui IS NULL THEN 'tail without concept' WHEN head_kind <> 'Person' AND head_cui IS NULL THEN 'head without concept' WHEN head_kind <> 'Person' AND head_cui = tail_cui THEN 'self loop' END warning, count(*) n FROM r GROUP BY ALL HAVING warning IS NOT NULL""",
+    "h11_hidden": ALL_SQL + """, w AS (SELECT case_id FROM a WHERE context UNION ALL SELECT case_id FROM n WHERE list_has_any(string_split(types, ','), ['Symptom', 'Diagnosis', 'Treatment'])) SELECT case_id, 8::bigint shown, count(*) - 8 hidden FROM w GROUP BY case_id HAVING count(*) > 8""",
+    "a6_relations": tb.sql("r") + "SELECT rel_id, case_id, relation, head_start::bigint head_start, tail_start::bigint tail_start, trigger_start::bigint trigger_start, round(score, 3) score FROM r WHERE assertion_status = 'negated' AND head_kind <> 'Person'",
+    "a8_assertions": tb.sql("r") + "SELECT tail_cui, count(*) FILTER (WHERE assertion_status = 'affirmed') affirmed, count(*) FILTER (WHERE assertion_status = 'negated') negated FROM r WHERE tail_cui IS NOT NULL GROUP BY ALL",
+    "a8_text_and_ontology": EDGES_SQL + """, a AS (SELECT DISTINCT head_cui h, tail_cui t, relation, 1 x FROM r WHERE head_kind <> 'Person' AND head_cui IS NOT NULL AND tail_cui IS NOT NULL), b AS (SELECT h, t, relation, 1 z FROM y), j AS (SELECT * FROM a FULL JOIN b USING (h, t, relation))
+        SELECT relation, count(*) FILTER (WHERE x IS NOT NULL AND z IS NULL) text_only, count(*) FILTER (WHERE x IS NULL) ontology_only, count(*) FILTER (WHERE x IS NOT NULL AND z IS NOT NULL) AS "both" FROM j GROUP BY relation""",
     "h6_edges": GRAPH_SQL + "SELECT * FROM q",
-    "h7_ontology_edges": EDGES_SQL + ", n AS (SELECT DISTINCT case_id, cui FROM o) SELECT a.case_id, h head_cui, t tail_cui, relation FROM y JOIN n a ON a.cui = h JOIN n b ON b.cui = t AND b.case_id = a.case_id",
+    "h7_ontology_edges": EDGES_SQL + ", n AS (SELECT DISTINCT case_id, cui FROM o) SELECT a.case_id, h head_cui, t tail_cui, relation, 'edge:' || relation || ':' || h || ':' || t || ':umls' edge, coalesce(sab, '') evidence_source FROM y JOIN n a ON a.cui = h JOIN n b ON b.cui = t AND b.case_id = a.case_id",
     "h9_demographics": tb.sql("c") + f""", k AS (SELECT case_id, 'Person' kind, case_id "value" FROM c UNION ALL SELECT case_id, 'Age', trim(age) FROM c WHERE lower(trim(age)) NOT IN ('', 'none', 'unknown', 'nan')
         UNION ALL SELECT case_id, 'Sex', trim(gender) FROM c WHERE lower(trim(gender)) NOT IN ('', 'none', 'unknown', 'nan') UNION ALL SELECT case_id, 'Article', trim(article_id) FROM c WHERE trim(article_id) <> '')
         SELECT case_id, kind, 'node:' || kind || ':' || {ENC.format('"value"')} node, "value" FROM k""",
@@ -244,4 +319,4 @@ SQL = {
     "a8_demographics": tb.sql("c") + ", x AS (SELECT coalesce(gender, '?') gender, coalesce((floor(try_cast(age AS double) / 10) * 10)::int, -1) AS dec FROM c) SELECT gender, dec AS \"decade\", count(*) n, grouping(gender, dec)::int AS level FROM x GROUP BY CUBE (gender, dec)",
     "a8_vocabulary": tb.sql("r", "o", "g") + ", x AS (SELECT vocabulary, count(*) n FROM o JOIN (SELECT DISTINCT cui, vocabulary FROM g) USING (cui) GROUP BY ALL) SELECT vocabulary, n, round(n / sum(n) OVER (), 6) share FROM x",
 }
-QUERIES = {f.__name__: f for f in (o1_concepts, o2_edges, o3_first_edges, o4_pairs, o5_type_prior, h1_ids, h2_hashes, h4_concepts, h5_mentions, h6_edges, h7_ontology_edges, h9_demographics, h10_faults, h11_filtered, h12_fingerprints, h13_types, h15_best, h16_merged, h17_compared, h18_degrees, h19_evidence, a1_types, a2_pivot, a3_case_sets, a8_shared_findings, a8_treatments, a8_demographics, a8_vocabulary)}
+QUERIES = {f.__name__: f for f in (o1_concepts, o2_edges, o3_first_edges, o4_pairs, o5_type_prior, h1_ids, h2_hashes, h4_concepts, h4_details, h4_occurrences, h5_mentions, h6_edges, h6_triggers, h6_warnings, h7_ontology_edges, h9_demographics, h10_faults, h11_filtered, h11_hidden, h12_fingerprints, h13_types, h15_best, h16_merged, h17_compared, h18_degrees, h19_evidence, a1_types, a2_pivot, a3_case_sets, a8_shared_findings, a8_treatments, a8_demographics, a8_vocabulary, a6_relations, a8_assertions, a8_text_and_ontology)}
