@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
-from ..operators import association, evaluate, features, lexicon
+from ..operators import association, evaluate, features, lexicon, relate
 from ..session import cut
 from . import tables as tb
-from .corpus import WORD_SQL, snippet_words
+from .corpus import WORD_SQL, rule_inputs, snippet_words
 from .graphs import KEY, KEYED_SQL, keyed
 
 FUNCTION_WORDS = "de do da em no na a o e um uma com por para of the to in and with by for on at".split()
@@ -45,11 +47,27 @@ def n9_held_out(spark: SparkSession, d: str) -> DataFrame:
     return association.held_out(w, "w", "trecho_id", "case_id").withColumn("logp", F.round("logp", 6))
 
 
+#: Words of the trigger lexicon.
+LEXICON = sorted({w for ws in relate.TRIGGERS.values() for w in ws.split()})
+
+
 def n10_triggers(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs that may be triggers: 3 or more times, not both function words."""
+    """Pairs that may be triggers: 3 or more times, not both function words, with both measures and whether one of the words
+    is in the lexicon."""
     a = association.association(snippet_words(spark, d), "w", 3).filter("c >= 3")
     f = lambda c: F.col(c).isin(FUNCTION_WORDS)
-    return a.filter(~(f("w1") & f("w2")) & ~f("w1")).select("w1", "w2", "c", F.round("pmi", 6).alias("pmi"))
+    listed = F.col("w1").isin(LEXICON) | F.col("w2").isin(LEXICON)
+    return a.filter(~(f("w1") & f("w2")) & ~f("w1")).select("w1", "w2", "c", F.round("pmi", 6).alias("pmi"), F.round("llr", 4).alias("llr"), listed.alias("in_lexicon"))
+
+
+def a4_between(spark: SparkSession, d: str) -> DataFrame:
+    """The 40 most frequent phrases between entities, with the lexicon flag."""
+    return n10_triggers(spark, d).select("w1", "w2", "c", "in_lexicon").orderBy(F.desc("c"), "w1", "w2").limit(40)
+
+
+def a7_gold(spark: SparkSession, d: str) -> DataFrame:
+    """How many judged pairs there are of each relation, and how many of them hold."""
+    return gold(spark, d).groupBy("gold_relation").agg(F.count("*").alias("n"), F.count_if("is_relation").alias("held"))
 
 
 def a7_hapax(spark: SparkSession, d: str) -> DataFrame:
@@ -209,6 +227,30 @@ def v2_per_relation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.per_relation(judged(spark, d)))
 
 
+def v2_assertions(spark: SparkSession, d: str) -> DataFrame:
+    """Of the judged relations that a strict threshold finds, how many have the assertion that the best candidate of their pair
+    is judged to have."""
+    r = tb.relations(spark, d, ["case_id", "head_start", "tail_start", "score", "rule_path", "assertion_status"])
+    g = lexicon.best(r.filter("assertion_status <> 'not_assessed'"), PAIR, ["-score", "rel_id"]).select(*PAIR, F.array_contains("rule_path", "clause").alias("is_relation"), F.col("assertion_status").alias("gold_assertion"))
+    p = lexicon.best(r.filter("score >= 1.0"), PAIR, ["-score", "rel_id"]).select(*PAIR, F.col("assertion_status").alias("assertion"))
+    return evaluate.assertions(g, p, PAIR).withColumn("accuracy", F.round("accuracy", 6))
+
+
+def v4_ablations(spark: SparkSession, d: str) -> DataFrame:
+    """Detection and typing by the rules with each part switched off, against the delivered relations whose tail they share a
+    text and place with."""
+    c, e, o = rule_inputs(spark, d)
+    at = ["case_id", "tail_start"]
+    want = lexicon.best(tb.relations(spark, d, [*at, "relation", "score"]), at, ["-score", "rel_id"]).select(*at, F.lit(True).alias("is_relation"), F.col("relation").alias("gold_relation"))
+    out = None
+    for off in [None, "word_class_backoff", "coordination", "negation", "transitions"]:
+        r = relate.relations(c, e, "case_id", "case_text", replace(o, **{off: False}) if off else o)
+        best = lexicon.best(r.select(*at, "relation", "score", "seq"), at, ["-score", "seq"])
+        n = evaluate.detection(evaluate.judged(want, best, at), []).withColumn("without", F.lit(off or "all"))
+        out = n if out is None else out.unionByName(n)
+    return rounded(out)
+
+
 def v3_sweep(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.sweep(judged(spark, d, 0.0), [0.5 * k for k in range(9)]))
 
@@ -360,6 +402,7 @@ import re as _re  # noqa: E402
 
 W_SQL = _re.sub(r"H\(([^()]*)\)", r"(CASE WHEN \1 > 0 THEN (\1) * ln(\1) ELSE 0 END)", W_SQL)
 P_SQL = tb.sql("t") + f""", w AS (SELECT trecho_id, case_id, list_concat(['<s>'], regexp_extract_all(lower(texto), '{WORD_SQL}'), ['</s>']) w FROM t WHERE FILT), i AS (SELECT trecho_id, case_id, w, unnest(range(1, len(w) + 1)) i FROM w)"""
+LEX = "(" + ", ".join(f"'{x}'" for x in LEXICON) + ")"
 FW = "(" + ", ".join(f"'{x}'" for x in FUNCTION_WORDS) + ")"
 CAND_SQL = tb.sql("r", "c") + """, x AS (SELECT r.*, case_text, coalesce(head_start, -1) hs, coalesce(head_end, -1) he, coalesce(tail_start, -1) ts, coalesce(tail_end, -1) te, coalesce(sent_start, -1) ss FROM r JOIN c USING (case_id)),
     y AS (SELECT *, CASE WHEN hs < 0 THEN ss WHEN hs <= ts THEN he ELSE te END lo, CASE WHEN hs < 0 OR hs <= ts THEN ts ELSE hs END hi FROM x),
@@ -394,7 +437,12 @@ SQL = {
         s AS (SELECT case_id, (SELECT count(*) FROM u) - count(*) FILTER (WHERE ou.f = u.f) + 1 v, (SELECT sum(f) FROM u) - sum(ou.f) n FROM ou JOIN u USING (w) GROUP BY case_id)
         SELECT trecho_id, round(avg(ln(0.7::double * (b.c - ob.c + 0.4::double) / (x.f - ox.f + 0.4::double * v) + 0.3::double * (y.f - oy.f + 0.4::double) / (n + 0.4::double * v))), 6) logp FROM i JOIN b ON b.w1 = w[i] AND b.w2 = w[i + 1] JOIN ob ON ob.case_id = i.case_id AND ob.w1 = b.w1 AND ob.w2 = b.w2
             JOIN u x ON x.w = b.w1 JOIN u y ON y.w = b.w2 JOIN ou ox ON ox.w = b.w1 AND ox.case_id = i.case_id JOIN ou oy ON oy.w = b.w2 AND oy.case_id = i.case_id JOIN s ON s.case_id = i.case_id WHERE i < len(i.w) GROUP BY trecho_id""",
-    "n10_triggers": W_SQL + f"SELECT w1, w2, c, round(pmi, 6) pmi FROM a WHERE c >= 3 AND w1 NOT IN {FW}",
+    "n10_triggers": W_SQL + f"SELECT w1, w2, c, round(pmi, 6) pmi, round(llr, 4) llr, w1 IN {LEX} OR w2 IN {LEX} AS in_lexicon FROM a WHERE c >= 3 AND w1 NOT IN {FW}",
+    "a4_between": W_SQL + f"SELECT w1, w2, c, w1 IN {LEX} OR w2 IN {LEX} AS in_lexicon FROM a WHERE c >= 3 AND w1 NOT IN {FW} ORDER BY c DESC, w1, w2 LIMIT 40",
+    "a7_gold": GOLD_SQL.rstrip().rstrip(",") + " SELECT gold_relation, count(*) n, count(*) FILTER (WHERE is_relation) held FROM gold GROUP BY ALL",
+    "v2_assertions": tb.sql("r") + """, g AS (SELECT case_id, head_start, tail_start, list_contains(rule_path, 'clause') is_relation, assertion_status gold_assertion FROM r WHERE assertion_status <> 'not_assessed' QUALIFY row_number() OVER (PARTITION BY case_id, head_start, tail_start ORDER BY score DESC, rel_id) = 1),
+        p AS (SELECT case_id, head_start, tail_start, assertion_status FROM r WHERE score >= 1.0 QUALIFY row_number() OVER (PARTITION BY case_id, head_start, tail_start ORDER BY score DESC, rel_id) = 1)
+        SELECT gold_assertion, count(*) hits, count(*) FILTER (WHERE assertion_status = gold_assertion) AS "right", round(count(*) FILTER (WHERE assertion_status = gold_assertion) / count(*), 6) accuracy FROM g JOIN p USING (case_id, head_start, tail_start) WHERE is_relation GROUP BY ALL""",
     "a7_hapax": W_SQL + "SELECT count(*) grams, count(*) FILTER (WHERE c = 1) hapax, round(count(*) FILTER (WHERE c = 1) / count(*), 6) share FROM b",
     "f1_between": CAND_SQL + "SELECT rel_id, between_ AS \"between\" FROM z",
     "f2_structural": FEAT_SQL + "SELECT * FROM fs",
@@ -428,4 +476,4 @@ SQL = {
     "v12_left": GOLD_SQL + "p AS (SELECT DISTINCT case_id, head_start, tail_start FROM r WHERE score >= -1e9) SELECT * FROM p ANTI JOIN gold USING (case_id, head_start, tail_start)",
 }
 SQL["v8_interval"] = SQL["v8_bootstrap"].replace("range(200)", "range(10000)").replace("v[6]", "v[251]").replace("v[195]", "v[9750]").replace("200.0", "10000.0")
-QUERIES = {f.__name__: f for f in (n2_association, n4_top_pmi, n5_table, n7_log_probability, n9_held_out, n10_triggers, a7_hapax, f1_between, f2_structural, f3_association, f4_ngram_features, f5_gold, f6_weak_labels, f7_weights, f9_weights, f9_decided, f10_stacked, f11_variants, f12_cross_checked, f13_top_weights, f14_applied, f14_learned, n8_lm_score, v6_cross_validated, a2_variants, v7_diagnostics, v7_weakly_supervised, v1_detection, v2_per_relation, v3_sweep, v5_per_case, v5_confusion, v8_bootstrap, v8_interval, v9_win_tie_loss, v10_who_is_right, v11_sample, v12_left)}
+QUERIES = {f.__name__: f for f in (n2_association, n4_top_pmi, n5_table, n7_log_probability, n9_held_out, n10_triggers, a4_between, a7_hapax, a7_gold, f1_between, f2_structural, f3_association, f4_ngram_features, f5_gold, f6_weak_labels, f7_weights, f9_weights, f9_decided, f10_stacked, f11_variants, f12_cross_checked, f13_top_weights, f14_applied, f14_learned, n8_lm_score, v6_cross_validated, a2_variants, v7_diagnostics, v7_weakly_supervised, v1_detection, v2_per_relation, v2_assertions, v4_ablations, v3_sweep, v5_per_case, v5_confusion, v8_bootstrap, v8_interval, v9_win_tie_loss, v10_who_is_right, v11_sample, v12_left)}
