@@ -83,14 +83,15 @@ def windows(docs: DataFrame, key: str, text: str, widest: int = WINDOW, masked:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = list(TOKEN_RE.finditer(mask(t) if masked else t)) if t else []
                 w, s, e = [m.group() for m in found], [m.start() for m in found], [m.end() for m in found]
-                run = [len(w)] * len(w)  # the token at which the windows from here must end
-                if known is not None:
-                    stop = len(w)
+                if known is None:
+                    for n in range(1, widest + 1):
+                        rows += [(k, i, n, s[i], e[j], t[s[i] : e[j]], " ".join(w[i : j + 1])) for i, j in enumerate(range(n - 1, len(w)))]
+                else:
+                    run, stop = [0] * len(w), len(w)  # run: the token at which the windows from each token must end
                     for i in range(len(w) - 1, -1, -1):
-                        stop = stop if known[w[i]] else i
-                        run[i] = stop
-                for i, stop in enumerate(run):
-                    rows += [(k, i, j - i + 1, s[i], e[j], t[s[i] : e[j]], " ".join(w[i : j + 1])) for j in range(i, min(stop, i + widest))]
+                        run[i] = stop = stop if known[w[i]] else i
+                    for i, stop in enumerate(run):
+                        rows += [(k, i, j - i + 1, s[i], e[j], t[s[i] : e[j]], " ".join(w[i : j + 1])) for j in range(i, min(stop, i + widest))]
                 if len(rows) > 200_000:
                     yield frame(rows, batch)
                     rows = []

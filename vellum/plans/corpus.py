@@ -200,7 +200,7 @@ def rule_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, rela
     the ontology gives (a row a pair of types)."""
     prior = {(r["head_type"], r["tail_type"]): r["prior"] for r in graphs.o5_type_prior(spark, d).collect()}
     frequency = tb.cases(spark, d, ["case_text"]).select(F.explode(ft.words("case_text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return tb.cases(spark, d, ["case_text"]), cut(entities(spark, d)), relate.Options(frequency=frequency, prior=prior)
+    return tb.cases(spark, d, ["case_text"]), entities(spark, d), relate.Options(frequency=frequency, prior=prior)
 
 
 def r15_relations(spark: SparkSession, d: str) -> DataFrame:
@@ -230,7 +230,7 @@ def r16_explained(spark: SparkSession, d: str) -> DataFrame:
 def r17_ablations(spark: SparkSession, d: str) -> DataFrame:
     """How many relations the rules draw with each part switched off."""
     c, e, o = rule_inputs(spark, d)
-    out = None
+    e, out = cut(e), None
     for off in [None, "word_class_backoff", "coordination", "negation", "transitions"]:
         n = relate.relations(c, e, "case_id", "case_text", replace(o, **{off: False}) if off else o).groupBy("relation").agg(F.count("*").alias("n"), F.count_if(F.col("assertion_status") == "negated").alias("negated")).withColumn("without", F.lit(off or "all"))
         out = n if out is None else out.unionByName(n)

@@ -240,6 +240,7 @@ def v4_ablations(spark: SparkSession, d: str) -> DataFrame:
     """Detection and typing by the rules with each part switched off, against the delivered relations whose tail they share a
     text and place with."""
     c, e, o = rule_inputs(spark, d)
+    e = cut(e)
     at = ["case_id", "tail_start"]
     want = lexicon.best(tb.relations(spark, d, [*at, "relation", "score"]), at, ["-score", "rel_id"]).select(*at, F.lit(True).alias("is_relation"), F.col("relation").alias("gold_relation"))
     out = None
