@@ -1,6 +1,9 @@
 """Repeated shares against a plain count, cutoffs against their guarantee."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -110,3 +113,56 @@ def test_labeller_is_no_score():
     assert not rp.reads_well(" ".join(f"the patient was then seen {w}" for w in "now then later soon after before once twice".split()))
     zh = "患者肝脉软缘索层渗浸膜孔管囊漏压硬痛钝速群节核缩炎热斑肿窝轴锐肾骨"
     assert rp.reads_well(zh) and not rp.reads_well(zh * 3)
+
+
+def test_all_documents_decide(spark):
+    """Cutoffs come from every document, not from some of them: the counts are those of the corpus, also of a rare script."""
+    rows = [(i, "กขค" * 4 if i % 90 == 0 else f"document {i} holds a few words") for i in range(9_000)] + [(-i, "one same line. " * 9) for i in range(1, 301)]
+    measured, table = rp.judged(spark.createDataFrame(rows, "id int, text string"), "id", "text")
+    got = {r["stratum"]: r for r in table.collect()}
+    assert {s: r["good"] for s, r in got.items()} == {"ascii": 8_900, "thai": 100, "all": 9_000}
+    assert got["thai"]["certified"] and not got["thai"]["pooled"]
+    # the same cutoffs as from one row a document
+    label = {"one same line. " * 9: False}
+    plain = measured.join(spark.createDataFrame(rows, "id int, text string"), "id").select("stratum", "share", "text").toPandas()
+    want = rp.cutoffs(plain.assign(good=[label.get(t, True) for t in plain["text"]]), rp.GRID)
+    assert [tuple(r) for r in table.collect()] == [tuple(r) for r in want.itertuples(index=False)]
+
+
+def test_binomial_of_large_counts():
+    for n, p in ((60, 0.05), (400, 0.3), (400, 0.97)):
+        plain = [math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)]
+        for k in (0, 1, n // 20, n // 2, n - 1, n):
+            assert rp.binomial_cdf(k, n, p) == pytest.approx(sum(plain[: k + 1]), rel=1e-9)
+    assert rp.binomial_cdf(50_000_000, 1_000_000_000, 0.05) == pytest.approx(0.5, abs=1e-4)
+
+
+def plainly_well(text):
+    """The labeller's rules by a count of tuples."""
+    normal = rp.tokens.normal(text)
+    if rp.again([p.strip() for p in re.split(r"[\r\n]+", normal) if p.strip()]) >= 0.3 or rp.again([s.strip() for s in re.split(r"(?<=[.!?。！？।])\s*", normal.replace("\n", " ")) if s.strip()]) >= 0.3:
+        return False
+    spaceless = len(rp.UNSPACED.findall(normal)) * 2 > len(normal)
+    words = [c for c in normal if not c.isspace()] if spaceless else normal.split()
+    total = sum(map(len, words))
+    for width, top in ((12 if spaceless else 4, True), (40 if spaceless else 10, False)):
+        runs = [tuple(words[i : i + width]) for i in range(len(words) - width + 1)]
+        n = Counter(runs)
+        if top and any(c > 1 and c * sum(map(len, r)) >= 0.16 * total for r, c in n.items()):
+            return False
+        covered = {j for i, r in enumerate(runs) if n[r] > 1 for j in range(i, i + width)}
+        if not top and covered and sum(len(words[j]) for j in covered) >= 0.4 * total:
+            return False
+    return True
+
+
+def test_labeller_against_plain_rules():
+    """All texts at once give what each gives by itself."""
+    rng, texts = random.Random(7), ["", " ", "."]
+    for _ in range(600):
+        own, sep = rng.choice(["ab", "abc. ", "肝脉软缘。索", "กข ค", "é1 x", "\n. a", "abcdefghijklmnopqrstuvwxyz"]), rng.choice(["", " ", "\n"])
+        base = sep.join(rng.choice(own) for _ in range(rng.randint(0, rng.choice([5, 30, 300]))))
+        texts.append(base + sep.join(rng.choice([base[: rng.randint(0, 90)], chr(rng.randint(97, 0x9000))]) for _ in range(rng.randint(0, 40))))
+    want = [plainly_well(t) for t in texts]
+    assert rp.well([rp.tokens.normal(t) for t in texts]).tolist() == want and 100 < sum(want) < len(want) - 100
+    assert [rp.reads_well(t) for t in texts] == want
