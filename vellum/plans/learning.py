@@ -240,16 +240,17 @@ def v4_ablations(spark: SparkSession, d: str) -> DataFrame:
     """Detection and typing by the rules with each part switched off, against the delivered relations whose tail they share a
     text and place with."""
     c, e, o = rule_inputs(spark, d)
-    e = cut(e)
     at = ["case_id", "tail_start"]
     want = lexicon.best(tb.relations(spark, d, [*at, "relation", "score"]), at, ["-score", "rel_id"]).select(*at, F.lit(True).alias("is_relation"), F.col("relation").alias("gold_relation"))
-    out = None
-    for off in [None, "word_class_backoff", "coordination", "negation", "transitions"]:
-        r = relate.relations(c, e, "case_id", "case_text", replace(o, **{off: False}) if off else o)
-        best = lexicon.best(r.select(*at, "relation", "score", "seq"), at, ["-score", "seq"])
-        n = evaluate.detection(evaluate.judged(want, best, at), []).withColumn("without", F.lit(off or "all"))
-        out = n if out is None else out.unionByName(n)
-    return rounded(out)
+    parts = ["word_class_backoff", "coordination", "negation", "transitions"]
+    r = relate.ablated(c, e, "case_id", "case_text", {"all": o} | {p: replace(o, **{p: False}) for p in parts})
+    every = ["without", *at]
+    best = lexicon.best(r.select(*every, "relation", "score", "seq"), every, ["-score", "seq"])
+    # every variant is judged against the same pairs
+    names = F.explode(F.array(*map(F.lit, ["all", *parts]))).alias("without")
+    n = evaluate.detection(evaluate.judged(want.select("*", names), best, every), ["without"])
+    n = spark.range(1).select(names).join(n, "without", "left").fillna(0)
+    return rounded(n.select(*[c for c in n.columns if c != "without"], "without"))
 
 
 def v3_sweep(spark: SparkSession, d: str) -> DataFrame:
