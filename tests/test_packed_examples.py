@@ -42,3 +42,9 @@ def ran(spark, monkeypatch, name):
 
 
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+
+
+@needs_data
+def test_f14_learned(spark, monkeypatch):
+    rows = ran(spark, monkeypatch, "f14_learned")
+    assert rows and all(r["relation"] != "NENHUMA" and 0 < r["score"] <= 1 for r in rows)
